@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, lines, sharding, simhash, suffixes, toxicity
+from . import decontaminate, embeddings, lines, pii, sharding, simhash, suffixes, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.assign(spark, table(spark, sf_dir, "documents")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(spark, table(spark, sf_dir, "documents")))
 
@@ -40,4 +44,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL: dict[str, str] = {}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_line_dedup, op4_toxicity, op5_embedding_dedup, op6_sharding, op9_suffix_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_line_dedup, op4_toxicity, op5_embedding_dedup, op6_sharding, op8_pii, op9_suffix_dedup, op10_simhash)}
