@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, lines, pii, sharding, simhash, suffixes, toxicity
+from . import decontaminate, embeddings, license, lines, pieces, pii, sharding, simhash, suffixes, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.digest(license.scan(spark, table(spark, sf_dir, "documents")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(spark, table(spark, sf_dir, "documents")))
 
@@ -30,6 +34,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.assign(spark, table(spark, sf_dir, "documents")))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.encode(spark, table(spark, sf_dir, "documents")))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -44,4 +52,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL: dict[str, str] = {}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op3_line_dedup, op4_toxicity, op5_embedding_dedup, op6_sharding, op8_pii, op9_suffix_dedup, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_license, op3_line_dedup, op4_toxicity, op5_embedding_dedup, op6_sharding, op7_pieces, op8_pii, op9_suffix_dedup, op10_simhash)}
