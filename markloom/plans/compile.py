@@ -31,11 +31,15 @@ class Compiler:
         self._read: dict = {}
 
     def rows(self, unit: Unit) -> DataFrame:
-        """The unit's source after its filters. Equal sources are one DataFrame, so that layers share a scan."""
+        """The unit's source after its filters. Equal sources are one DataFrame, so that layers share a scan.
+
+        Filters come twice where floats may hold NaN: on the columns as they are, which the scan takes up and which
+        lets through all rows that pass, and on the columns with null for NaN, which says what passes.
+        """
         key = (unit.source.name, unit.source.url, id(unit.source.values) if unit.source.values else None)
         if key not in self._read:
             self._read[key] = (relations.resolve(self.spark, unit.source, self.sources, self.datasets), unit.source)
-        rows = self._read[key][0]
+        rows, tests = self._read[key][0], []
         for step in unit.transforms:
             test = predicate(step["filter"]) if isinstance(step, dict) and "filter" in step else None
             if test is None:
@@ -44,7 +48,12 @@ class Compiler:
                 warnings.warn(f"transform {step!r} is passed over", stacklevel=2)
                 continue
             rows = rows.where(test)
-        return rows
+            tests.append(test)
+        clean = relations.without_nan(rows)
+        if clean is not rows:
+            for test in tests:
+                clean = clean.where(test)
+        return clean
 
     def order(self) -> Column:
         return column(self.order_by) if self.order_by else F.monotonically_increasing_id()

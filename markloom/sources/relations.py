@@ -18,9 +18,9 @@ def resolve(spark: SparkSession, source, named: dict[str, DataFrame], datasets:
         if source.name in datasets:
             return inline(spark, datasets[source.name])
         if source.name in named:
-            return without_nan(named[source.name])
+            return named[source.name]
     if source.url is not None:
-        return without_nan(from_url(spark, source.url))
+        return from_url(spark, source.url)
     return spark.createDataFrame([], "__empty int")
 
 
@@ -33,7 +33,7 @@ def inline(spark: SparkSession, values: list) -> DataFrame:
     kinds = {n: _type([r.get(n) for r in rows]) for n in names}
     cast = {"double": lambda v: float(v), "bigint": int, "boolean": bool, "string": lambda v: v if isinstance(v, str) else json.dumps(v)}
     data = [tuple(None if r.get(n) is None else cast[kinds[n]](r[n]) for n in names) for r in rows]
-    return without_nan(spark.createDataFrame(data, ", ".join(f"`{n}` {kinds[n]}" for n in names)))
+    return spark.createDataFrame(data, ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
 def _type(values: list) -> str:
