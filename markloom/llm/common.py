@@ -33,8 +33,7 @@ def write_shared(spark: SparkSession, df: DataFrame, name: str, partition_by: st
     path = f"{shared_dir(spark)}/markloom/{uuid.uuid4().hex}/{name}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    schema = df.schema if not partition_by else None
-    out = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 

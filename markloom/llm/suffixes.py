@@ -142,6 +142,8 @@ class Values:
         self.twice = np.bincount(rank, minlength=len(self.unique)) > 1
 
     def blobs(self) -> Iterator[tuple[int, bytes]]:
+        if not len(self.bucket):
+            return
         edge = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for lo, hi in zip(edge, np.append(edge[1:], len(self.bucket)), strict=True):
             yield int(self.bucket[lo]), pack_sorted(self.unique[lo:hi])

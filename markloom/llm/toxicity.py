@@ -31,7 +31,7 @@ HELD_OUT = (4, 2)  # crc32(doc_id) mod 4 == 2
 THRESHOLD = 0.3
 VOTERS = 200
 STEMS = (4, 5, 6)
-#: Words of a learning text that voters may be found in; a text's further words count for its votes all the same.
+#: Toxic learning rows that a learned voter occurs in, at least.
 MIN_TOXIC_DOCS = 4
 
 #: A general lexicon.
@@ -169,11 +169,7 @@ def train(texts: list[str], known: np.ndarray) -> Model:
             x[i, k] = np.log1p(n)
         x[i, m] = shouting(text)
     prior = float(np.clip((known == 1).sum() / max(1, labelled.sum()), 0.005, 0.5)) if labelled.any() else 0.05
-    votes = (x > 0).astype(float)
-    post, _, _ = label_model(votes, known, prior)
-    if not len(texts):
-        model.weights, model.bias = np.append(np.full(m, 1.0), 0.0), -3.0
-        return model
+    post = label_model((x > 0).astype(float), known, prior)[0] if texts else np.zeros(0)
     if not (post >= 0.5).any():
         model.weights, model.bias = np.append(np.full(m, 2.0), 0.0), -3.0
         return model
