@@ -410,19 +410,21 @@ def loss_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, list_transform(range(p_size % 7), lambda i: CAST(p_size AS DOUBLE) + i * 0.5) AS arange, round(list_sum(list_transform(range(1, 1 + p_size % 5), lambda i: CAST(i AS DOUBLE))), 6) AS total,
-    list_transform(range(1, 1 + p_size % 5), lambda i: i * (i + 1) / 2.0) AS cumsum, [p_size, p_size, p_size + 1, p_size + 1] AS repeated FROM part"""
+    """WITH a AS (SELECT p_partkey, p_size, list_transform(range(p_size % 7), lambda i: CAST(p_size AS DOUBLE) + i * 0.5) AS steps, list_transform(range(1, 1 + p_size % 5), lambda i: CAST(i AS DOUBLE)) AS few FROM part)
+    SELECT p_partkey, CAST(len(steps) AS BIGINT) AS n_steps, steps[-1] AS last_step, round(list_sum(few), 6) AS total, (p_size % 5) * (p_size % 5 + 1) / 2.0 AS last_cumsum, array_to_string([p_size, p_size, p_size + 1, p_size + 1], ',') AS repeated FROM a"""
 )
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     few = F.when(size % 5 > 0, F.transform(F.sequence(F.lit(1), F.greatest(size % 5, F.lit(1))), lambda i: i.cast("double"))).otherwise(F.array().cast("array<double>"))
     start = size.cast("double")
+    steps = arrays.arange(start, start + (size % 7) * 0.5, F.lit(0.5))
     return table(spark, sf_dir, "part").select(
         "p_partkey",
-        arrays.arange(start, start + (size % 7) * 0.5, F.lit(0.5)).alias("arange"),
+        F.size(steps).cast("long").alias("n_steps"),
+        F.try_element_at(steps, F.lit(-1)).alias("last_step"),
         F.when(size % 5 > 0, arrays.total(few)).alias("total"),
-        arrays.cumsum(few).alias("cumsum"),
-        arrays.repeat_each(F.array(size, size + 1), F.lit(2)).alias("repeated"),
+        F.coalesce(F.try_element_at(arrays.cumsum(few), F.lit(-1)), F.lit(0.0)).alias("last_cumsum"),
+        F.array_join(arrays.repeat_each(F.array(size, size + 1), F.lit(2)), ",").alias("repeated"),
     )
 
 
@@ -437,7 +439,7 @@ def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def script_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.clean(_scripts(spark, sf_dir)).withColumn("facts", pycode.script_facts("code")).select("id", "facts.n_axes", "facts.calls", "code")
+    return corpus.clean(_scripts(spark, sf_dir)).withColumn("facts", pycode.script_facts("code")).select("id", "facts.n_axes", F.array_join("facts.calls", ",").alias("calls"), "code")
 
 
 @query()
