@@ -191,6 +191,6 @@ def digest(done: DataFrame) -> DataFrame:
         "doc_id",
         *(of(k).alias(f"n_{k}") for k in KINDS),
         F.size("__found").cast("long").alias("n_replaced"),
-        F.transform("__found", lambda e: e["pseudonym"]).alias("pseudonyms"),
+        F.array_join(F.transform("__found", lambda e: e["pseudonym"]), ",").alias("pseudonyms"),
         F.sha2(F.coalesce(F.col("__text"), F.lit("")).cast("binary"), 256).alias("text_sha256"),
     )
