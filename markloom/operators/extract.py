@@ -14,6 +14,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.batches import batched
 from ..functions.pycode import called, parsed
@@ -546,3 +548,21 @@ def extract_udf(code: pd.Series) -> pd.Series:
 @batched("string")
 def spec_of_code_udf(code: pd.Series) -> pd.Series:
     return code.map(spec_of_code)
+
+
+@batched("string")
+def _spec_of_samples(samples: pd.DataFrame) -> pd.Series:
+    found = map(spec_of_sample, samples.to_dict("records"))
+    return pd.Series([None if s is None else canonical_text(s, compact=True) for s in found], dtype=object)
+
+
+def fill_specs(df: DataFrame) -> DataFrame:
+    """Samples (code) with vega_spec: code that is a spec itself, or the spec of its chart; null where there is none."""
+    return df.withColumn("vega_spec", spec_of_code_udf("code"))
+
+
+def attach_specs(df: DataFrame) -> DataFrame:
+    """Df with vega_lite_spec: the first supported spec among the spec columns it has, or that of its code."""
+    names = [*(k for k in SPEC_KEYS if k in df.columns), "code"]
+
+    return df.withColumn("vega_lite_spec", _spec_of_samples(F.struct(*(F.col(n).cast("string").alias(n) for n in names))))

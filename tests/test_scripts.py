@@ -219,3 +219,13 @@ def test_compare_with_an_empty_run(spark):
     got = {r.metric: (r.base, r.new, r.relative) for r in report.compare(df, "a", "b").collect()}
     assert got["ssim"] == (0.5, 0.0, -100.0) and got["success_rate"] == (1.0, 0.0, -100.0)
     assert report.run_summary(df).where("run = 'a'").first().std_ssim is None
+
+
+def test_specs_of_samples(spark):
+    spec = '{"mark":"bar","encoding":{}}'
+    rows = [("plt.plot([1, 2])", None, spec), (spec, None, None), ("x = 1", '{"mark":"tick","data":{}}', None)]
+    df = spark.createDataFrame(rows, "code string, vega_spec string, spec string")
+    got = extract.attach_specs(df).select("vega_lite_spec").collect()
+    assert got[0][0] == '{"encoding":{},"mark":"bar"}' and got[1][0] is None and got[2][0] is None
+    filled = [r.vega_spec for r in extract.fill_specs(df.select("code")).collect()]
+    assert '"line"' in filled[0] and filled[1] == '{"encoding":{},"mark":"bar"}' and filled[2] is None
