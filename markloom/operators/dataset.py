@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import batched
 from ..functions.metrics import parse_spec_udf
 from ..functions.pycode import repair_udf
 from ..functions.scripts import extract_code
-from ..plans.spec import canonical_text, parse_spec
+from ..plans.script import script_or_stub
 
 #: Names of the two tasks; the wording of an instruction is the caller's.
 SPEC_TASK, CODE_TASK = "spec", "code"
@@ -23,23 +24,20 @@ def task_of(vega_spec: Column) -> Column:
     return F.when(parse_spec_udf(vega_spec).isNotNull(), SPEC_TASK).otherwise(CODE_TASK)
 
 
-def reference_text(vega_spec: Column, code: Column) -> Column:
-    """The canonical spec, or the code; a sample with neither is an error."""
-    return F.coalesce(parse_spec_udf(vega_spec), code, F.raise_error(F.lit("a sample has neither spec nor code")).cast("string"))
+@batched("string")
+def _script_of_spec(text: pd.Series) -> pd.Series:
+    return text.map(script_or_stub)
 
 
-def generated_code(text: Column, task: Column) -> Column:
-    """The code of a generated answer: for code the repaired last block; for a spec its canonical text, or a stub that fails when run."""
-    return F.when(task == CODE_TASK, repair_udf(extract_code(text))).otherwise(F.coalesce(parse_spec_udf(text), F.lit("raise RuntimeError('no chart spec in the output')")))
-
+def reference_code(vega_spec: Column, code: Column) -> Column:
+    """The script of the sample's spec, or its code; a sample with neither is an error."""
+    spec = parse_spec_udf(vega_spec)
+    return F.when(spec.isNotNull(), _script_of_spec(vega_spec)).otherwise(F.coalesce(code, F.raise_error(F.lit("a sample has neither spec nor code")).cast("string")))
 
-def lowered_code(spec_text: str | None) -> str:
-    """C19, C21 for one string: the script that draws a spec's inline rows, or a stub that raises.
 
-    The chart's rows come from the mark table; the script only carries the spec to whoever draws it.
-    """
-    spec = parse_spec(spec_text)
-    return "raise RuntimeError('no chart spec in the output')" if spec is None else f"import json\nspec = json.loads({canonical_text(spec, compact=True)!r})\n"
+def generated_code(text: Column, task: Column) -> Column:
+    """The code of a generated answer: for code the repaired last block; for a spec its drawing script, or a stub that fails when run."""
+    return F.when(task == CODE_TASK, repair_udf(extract_code(text))).otherwise(_script_of_spec(text))
 
 
 MESSAGES = "array<struct<role:string,content:array<struct<type:string,text:string,image:string>>>>"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""\s*(?:(?P<num>\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_]\w*)|(?P<op>&&|\|\||===|!==|==|!=|<=|>=|[<>!+\-*/%().\[\]]))""")
 WORDS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None}
-COMPARE = {"==": Column.__eq__, "===": Column.__eq__, "!=": Column.__ne__, "!==": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+COMPARE = ("==", "===", "!=", "!==", "<", "<=", ">", ">=")
 LEVELS = (("+", "-"), ("*", "/", "%"))
 
 
@@ -21,8 +21,8 @@ class FilterError(ValueError):
 class _Parser:
     """or > and > not > comparison > sum > product > sign > primary; fields are datum.name or datum['name']."""
 
-    def __init__(self, text: str):
-        self.tokens, at = [], 0
+    def __init__(self, text: str, on):
+        self.on, self.tokens, at = on, [], 0
         while at < len(text.rstrip()):
             m = TOKEN.match(text, at)
             if not m:
@@ -44,43 +44,42 @@ class _Parser:
         if not self.take(wanted):
             raise FilterError(f"{wanted!r} is missing")
 
-    def parse(self) -> Column:
+    def parse(self):
         out = self.either()
         if self.at < len(self.tokens):
             raise FilterError(f"unexpected {self.tokens[self.at][1]!r}")
         return out
 
-    def either(self) -> Column:
+    def either(self):
         out = self.both()
         while self.take("||", "or"):
-            out = out | self.both()
+            out = self.on.either(out, self.both())
         return out
 
-    def both(self) -> Column:
+    def both(self):
         out = self.negated()
         while self.take("&&", "and"):
-            out = out & self.negated()
+            out = self.on.both(out, self.negated())
         return out
 
-    def negated(self) -> Column:
-        return ~self.negated() if self.take("!", "not") else self.compared()
+    def negated(self):
+        return self.on.negated(self.negated()) if self.take("!", "not") else self.compared()
 
-    def compared(self) -> Column:
+    def compared(self):
         out = self.level(0)
         while op := self.take(*COMPARE):
-            out = COMPARE[op](out, self.level(0))
+            out = self.on.compared(op[:2], out, self.level(0))
         return out
 
-    def level(self, k: int) -> Column:
+    def level(self, k: int):
         if k == len(LEVELS):
-            return -self.level(k) if self.take("-") else self.primary()
+            return self.on.computed("-", self.on.literal(0), self.level(k)) if self.take("-") else self.primary()
         out = self.level(k + 1)
         while op := self.take(*LEVELS[k]):
-            right = self.level(k + 1)
-            out = {"+": out + right, "-": out - right, "*": out * right, "/": F.try_divide(out, right), "%": F.try_mod(out, right)}[op]
+            out = self.on.computed(op, out, self.level(k + 1))
         return out
 
-    def primary(self) -> Column:
+    def primary(self):
         if self.take("("):
             out = self.either()
             self.need(")")
@@ -90,11 +89,11 @@ class _Parser:
         kind, text = self.tokens[self.at]
         self.at += 1
         if kind == "num":
-            return F.lit(float(text) if re.search(r"[.eE]", text) else int(text))
+            return self.on.literal(float(text) if re.search(r"[.eE]", text) else int(text))
         if kind == "str":
-            return F.lit(re.sub(r"\\(.)", r"\1", text[1:-1]))
+            return self.on.literal(re.sub(r"\\(.)", r"\1", text[1:-1]))
         if kind == "name" and text in WORDS:
-            return F.lit(WORDS[text])
+            return self.on.literal(WORDS[text])
         if kind == "name":
             if text == "datum" and self.take("."):
                 text = self.tokens[self.at][1]
@@ -103,7 +102,7 @@ class _Parser:
                 text = self.tokens[self.at][1][1:-1]
                 self.at += 1
                 self.need("]")
-            return field(text)
+            return self.on.field(text)
         raise FilterError(f"unexpected {text!r}")
 
 
@@ -111,9 +110,39 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def string_filter(text: str) -> Column:
+class Columns:
+    """What a filter means for Spark."""
+
+    literal = staticmethod(F.lit)
+    field = staticmethod(field)
+    either = staticmethod(Column.__or__)
+    both = staticmethod(Column.__and__)
+    negated = staticmethod(Column.__invert__)
+
+    @staticmethod
+    def compared(op: str, a: Column, b: Column) -> Column:
+        return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+    @staticmethod
+    def computed(op: str, a: Column, b: Column) -> Column:
+        return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b), "%": F.try_mod(a, b)}[op]
+
+
+class Source:
+    """What a filter means in a drawing script, over a row `r`; a missing value passes no comparison."""
+
+    literal = staticmethod(repr)
+    field = staticmethod(lambda name: f"r.get({name!r})")
+    either = staticmethod(lambda a, b: f"({a} or {b})")
+    both = staticmethod(lambda a, b: f"({a} and {b})")
+    negated = staticmethod(lambda a: f"(not {a})")
+    compared = staticmethod(lambda op, a, b: f"compare({op!r}, {a}, {b})")
+    computed = staticmethod(lambda op, a, b: f"compute({op!r}, {a}, {b})")
+
+
+def string_filter(text: str, on=Columns):
     """R7."""
-    return _Parser(text).parse()
+    return _Parser(text, on).parse()
 
 
 def object_filter(spec: dict) -> Column | None:
