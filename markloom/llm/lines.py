@@ -97,10 +97,15 @@ def batch_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(row_hashes(F.col("text"))).alias("h")).groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.count("*").alias("n"))
 
 
-def build_runs(spark: SparkSession, docs: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -> LevelledRuns:
-    """Runs over all documents, in `batches` batches by hash of the row. One scan writes a run for every batch."""
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), F.explode(row_hashes(F.col("text"))).alias("h"))
-    counts = keyed.groupBy("batch", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).agg(F.count("*").alias("n"))
+def line_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """doc_id, t, batch, h1, h2: the distinct keys of each row. `t` stands for the text; rows that agree in both have the same lines."""
+    row = docs.select("doc_id", F.xxhash64("text").alias("t"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), F.explode(row_hashes(F.col("text"))).alias("h"))
+    return row.select("doc_id", "t", "batch", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
+
+
+def build_runs(spark: SparkSession, keys: DataFrame, batches: int = BATCHES, fan_in: int = FAN_IN) -> LevelledRuns:
+    """Runs over the keys of all documents, in `batches` batches by hash of the row. One pass writes a run for every batch."""
+    counts = keys.groupBy("batch", "h1", "h2").agg(F.count("*").alias("n"))
     written = write_shared(spark, counts.sortWithinPartitions("batch", "h1", "h2"), "runs", partition_by="batch")
     runs = LevelledRuns(spark, fan_in)
     for b in range(batches):
@@ -109,13 +114,8 @@ def build_runs(spark: SparkSession, docs: DataFrame, batches: int = BATCHES, fan
     return runs
 
 
-def dropped_keys(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """row key (doc_id, t) with the hashes of its lines that are in `common`; rows without any are absent.
-
-    `t` stands for the text. Rows that agree in both have the same lines, so they share a row here.
-    """
-    keys = docs.select("doc_id", F.xxhash64("text").alias("t"), F.explode(row_hashes(F.col("text"))).alias("h"))
-    keys = keys.select("doc_id", "t", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
+def dropped_keys(keys: DataFrame, common: DataFrame) -> DataFrame:
+    """doc_id, t with the hashes of the row's lines that are in `common`; rows without any are absent."""
     hit = keys.join(common.select("h1", "h2"), ["h1", "h2"], "left_semi")
     return hit.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
@@ -123,9 +123,10 @@ def dropped_keys(docs: DataFrame, common: DataFrame) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_in: int = FAN_IN) -> DataFrame:
     """docs with the columns __lines and __kept: every line, and those whose key is in fewer than `min_docs` rows."""
     source = docs.select("doc_id", "text")
-    runs = build_runs(spark, source, batches, fan_in)
+    keys = write_shared(spark, line_keys(source, batches), "keys")
+    runs = build_runs(spark, keys, batches, fan_in)
     common = runs.counts().where(F.col("n") >= min_docs)
-    gone = dropped_keys(source, common).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
+    gone = dropped_keys(keys, common).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]) & (F.xxhash64(docs["text"]) == gone["__t"]), "left")
     keep = F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), key_hash(x)), F.lit(False))))
     return joined.withColumn("__lines", lines_of(docs["text"])).withColumn("__kept", keep).drop("__d", "__t", "__gone")
