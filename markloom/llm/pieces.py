@@ -3,12 +3,13 @@
 A text is cut into units: a run of spaces with the word after it. No piece reaches over a unit's end, so each distinct
 unit is encoded once. The units go to buckets by hash; their substrings of at most the longest piece's length are
 exploded and equi-joined to the piece table, which gives the lattice's edges, grouped by unit. The fold over a unit's
-edges gives its ids: for unigram models the best path (`viterbi`, a higher-order aggregate), for BPE models the merges
-in order of rank (`merge`), since a best path by score isn't what a BPE model defines. Characters outside the piece
-table fall back to bytes, or to the unknown id if the model has no bytes.
+edges gives its tokens: for unigram models the best path (`viterbi`, a higher-order aggregate), for BPE models the
+merges in order of rank (`merge`), since a best path by score isn't what a BPE model defines. Characters outside the
+piece table fall back to bytes, or to the unknown id if the model has no bytes.
 
-Texts are read once. What moves is a chunk's distinct units, packed by bucket, and the ids that come back; the
-sequence of units stays in a table bucketed by the task that wrote it, and is joined to the answers there.
+Texts are read once. What moves is a chunk's distinct units, packed by bucket; what comes back is a bit for each of
+their characters, whether a token begins there. The sequence of units stays in a table bucketed by the task that wrote
+it, and is joined to the answers there.
 
 The piece table is broadcast; its size is that of the model file. Null text is empty and has no ids. Rows are
 encoded one by one: repeated and null ids need no rule. Only doc_id and text are read.
@@ -31,17 +32,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import write_shared
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(r" *[^ ]+| +")
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
+#: Units of the documents that are put together at once.
+GROUP_UNITS = 100_000
 #: Buckets per shuffle partition.
 BUCKETS = 4
 #: A unit is exploded in pieces of so many first characters, so that a very long one is no quadratic string.
 SEGMENT = 512
-LONG_UNIT = 256
 MAX_ID, MAX_LEN = 1 << 20, 64
 
 
@@ -80,47 +81,61 @@ def piece_frame(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"piece": list(model.pieces), "id": list(model.pieces.values())}), "piece string, id int")
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
-    """keys and edges (array<long>: (start * MAX_LEN + length) * MAX_ID + id) of the units in column `word`."""
+def spans(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str], shortest: int = 1) -> DataFrame:
+    """keys and edge of the units in column `word` (SPACE for spaces), a row for each substring that is a piece: (start * MAX_LEN + length) * MAX_ID + id.
+
+    The join is on a hash of the substring, a number, and the strings are compared where the hashes agree.
+    """
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length("word") - 1) / SEGMENT).cast("int")))
     cut = words.select(*keys, "word", at.alias("segment")).select(*keys, (F.col("segment") * SEGMENT).alias("base"), F.substr("word", F.col("segment") * SEGMENT + 1, F.lit(SEGMENT + longest - 1)).alias("cut"))
     starts = cut.select("*", F.explode(F.sequence(F.lit(1), F.least(F.length("cut"), F.lit(SEGMENT)))).alias("start"))
-    spans = starts.select(*keys, "base", "cut", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("cut") - F.col("start") + 1))).alias("length"))
-    subs = spans.select(*keys, (F.col("base") + F.col("start") - 1).cast("long").alias("start"), "length", F.translate(F.substr("cut", F.col("start"), F.col("length")), " ", SPACE).alias("piece"))
-    edges = subs.join(F.broadcast(pieces), "piece")
-    return edges.groupBy(*keys).agg(F.collect_list((F.col("start") * MAX_LEN + F.col("length")) * MAX_ID + F.col("id")).alias("edges"))
-
-
-def merge(n: int, ids: dict[int, int], rank: list[int]) -> list[tuple[int, int]]:
-    """BPE over n characters: (start, end) of the tokens. Of the neighbours whose union is a piece, the best ranked and then leftmost merge."""
-    if n > LONG_UNIT:
-        return _merge_long(n, ids, rank)
-    none = 1 << 60
-
-    def of(a: int, b: int) -> int:
-        i = ids.get(a * MAX_LEN + b - a) if b - a < MAX_LEN else None
-        return none if i is None else rank[i]
-
-    ends = list(range(n + 1))
-    ranks = [of(i, i + 2) for i in range(n - 1)]
-    while ranks and (best := min(ranks)) < none:
-        i = ranks.index(best)
-        del ends[i + 1], ranks[i]
+    tails = starts.select(*keys, (F.col("base") + F.col("start") - 1).cast("long").alias("start"), F.substr("cut", F.col("start"), F.lit(longest)).alias("tail"))
+    subs = tails.select(*keys, "start", "tail", F.explode(F.when(F.length("tail") >= shortest, F.sequence(F.lit(shortest), F.length("tail"))).otherwise(F.array().cast("array<int>"))).alias("length"))
+    subs = subs.select(*keys, "start", "length", F.substr("tail", F.lit(1), F.col("length")).alias("sub")).withColumn("hash", F.xxhash64("sub"))
+    # said as two prefixes, since an equality would become part of the key
+    same = F.startswith("sub", F.col("piece")) & F.startswith("piece", F.col("sub"))
+    table = pieces.where(F.length("piece") >= shortest).withColumn("piece_hash", F.xxhash64("piece"))
+    edges = subs.join(F.broadcast(table), (F.col("hash") == F.col("piece_hash")) & same)
+    return edges.select(*keys, ((F.col("start") * MAX_LEN + F.col("length")) * MAX_ID + F.col("id")).alias("edge"))
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
+    """The edges of each unit as one array."""
+    return spans(words, pieces, longest, keys).groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
+
+
+def merge(n: int, ranks: dict[int, int]) -> list[int]:
+    """BPE over n characters: where the tokens begin and end. `ranks` has the rank of each piece by start * MAX_LEN + length.
+
+    Of the neighbours whose union is a piece, the best ranked and then leftmost merge.
+    """
+    if n >= MAX_LEN:
+        return _merge_long(n, ranks)
+    none, get, ends = 1 << 60, ranks.get, list(range(n + 1))
+    now = [get(a * MAX_LEN + 2, none) for a in range(n - 1)]
+    while now:
+        best = min(now)
+        if best == none:
+            break
+        i = now.index(best)
+        del ends[i + 1], now[i]
         if i:
-            ranks[i - 1] = of(ends[i - 1], ends[i + 1])
-        if i < len(ranks):
-            ranks[i] = of(ends[i], ends[i + 2])
-    return list(zip(ends, ends[1:], strict=False))
+            a = ends[i - 1]
+            now[i - 1] = get(a * MAX_LEN + ends[i + 1] - a, none)
+        if i < len(now):
+            a = ends[i]
+            now[i] = get(a * MAX_LEN + ends[i + 2] - a, none)
+    return ends
 
 
-def _merge_long(n: int, ids: dict[int, int], rank: list[int]) -> list[tuple[int, int]]:
+def _merge_long(n: int, ranks: dict[int, int]) -> list[int]:
     """The same with a heap, for units of any length."""
     after, before = list(range(1, n + 2)), list(range(-1, n))
     heap: list[tuple[int, int, int, int]] = []
 
     def offer(a: int) -> None:
-        if 0 <= a < n and (m := after[a]) < n and (b := after[m]) - a < MAX_LEN and (i := ids.get(a * MAX_LEN + b - a)) is not None:
-            heapq.heappush(heap, (rank[i], a, m, b))
+        if 0 <= a < n and (m := after[a]) < n and (b := after[m]) - a < MAX_LEN and (rank := ranks.get(a * MAX_LEN + b - a)) is not None:
+            heapq.heappush(heap, (rank, a, m, b))
 
     for a in range(n):
         offer(a)
@@ -134,25 +149,32 @@ def _merge_long(n: int, ids: dict[int, int], rank: list[int]) -> list[tuple[int,
             before[b] = a
         offer(a)
         offer(before[a])
-    out, a = [], 0
-    while a < n:
-        out.append((a, after[a]))
-        a = after[a]
-    return out
-
-
-def fold(word: str, edges: np.ndarray, rank: list[int], model_bytes: int | None, unknown: int) -> list[int]:
-    ids = dict(zip((edges // MAX_ID).tolist(), (edges % MAX_ID).tolist(), strict=True))
-    out = []
-    for a, b in merge(len(word), ids, rank):
-        i = ids.get(a * MAX_LEN + b - a)
-        if i is not None:
-            out.append(i)
-        elif model_bytes is not None:
-            out += [model_bytes + x for x in word[a:b].encode()]
-        elif not out or out[-1] != unknown:
-            out.append(unknown)
-    return out
+    ends = [0]
+    while ends[-1] < n:
+        ends.append(after[ends[-1]])
+    return ends
+
+
+def ids_of(text: str, starts: np.ndarray, word: np.ndarray, pieces: dict[str, int], bytes_at: int | None, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the tokens that begin at `starts` of a text, and how many each token gives.
+
+    A character without a piece gives the ids of its bytes, or the unknown id, once for neighbours in the same `word`.
+    """
+    at = starts.tolist()
+    tokens = [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
+    found = list(map(pieces.get, tokens))
+    missing = [k for k, i in enumerate(found) if i is None]
+    if not missing:
+        return np.array(found, np.uint32), np.ones(len(found), np.int64)
+    gaps = set(missing)
+    own = {k: [bytes_at + x for x in tokens[k].encode("utf-8", "surrogatepass")] if bytes_at is not None else [] if k - 1 in gaps and word[k] == word[k - 1] else [unknown] for k in missing}
+    n = np.ones(len(found), np.int64)
+    n[missing] = [len(own[k]) for k in missing]
+    ends = np.cumsum(n)
+    out = np.repeat(np.array([0 if i is None else i for i in found], np.uint32), n)
+    for k in missing:
+        out[ends[k] - n[k] : ends[k]] = own[k]
+    return out, n
 
 
 def viterbi(edges: Column, n: Column, score: Column) -> Column:
@@ -174,23 +196,68 @@ def viterbi(edges: Column, n: Column, score: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["ids"])
 
 
-def _pack(values: list[bytes]) -> bytes:
-    lens = np.fromiter(map(len, values), np.uint32, len(values))
-    return zstandard.ZstdCompressor(level=3).compress(len(values).to_bytes(4, "little") + lens.tobytes() + b"".join(values))
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^32 byte by byte: first all lowest bytes, last all highest, which are mostly zero."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+
+
+def _pack(lens: np.ndarray, body: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(len(lens).to_bytes(4, "little") + _planes(lens) + body)
 
 
-def _unpack(blob: bytes) -> list[bytes]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+    return _from_planes(raw, 4, n), raw[4 + 4 * n :]
 
 
-CHUNK = "part long, chunk long, bucket int, doc_ids array<long>, counts array<int>, sums array<long>, body binary"
+def _pack_words(words: list[bytes]) -> bytes:
+    return _pack(np.fromiter(map(len, words), np.uint32, len(words)), b"".join(words))
+
+
+def _words(blob: bytes) -> list[bytes]:
+    lens, body = _unpack(blob)
+    ends = np.cumsum(lens, dtype=np.int64).tolist()
+    return [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def _characters(blob: bytes) -> tuple[str, np.ndarray]:
+    """The words of a blob as one text, spaces shown, and where each begins."""
+    lens, body = _unpack(blob)
+    begins = np.cumsum(lens, dtype=np.int64) - lens
+    heads = (np.frombuffer(body, np.uint8) & 0xC0) != 0x80
+    return _shown(body), (np.cumsum(heads) - heads)[begins] if len(lens) else begins
+
+
+def _pack_cuts(words: list[bytes], cuts: dict[bytes, list[int]]) -> bytes:
+    """A bit for each character of the words, one after the other: whether a token begins there inside its word."""
+    at, n = [], 0
+    for w in words:
+        ends = cuts[w]
+        at += [n + e for e in ends[1:-1]]
+        n += ends[-1]
+    flags = np.zeros(n, bool)
+    flags[at] = True
+    return zlib.compress(np.packbits(flags).tobytes(), 1)
+
+
+def _cuts(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(blob), np.uint8), count=n).astype(bool)
+
+
+CHUNK = "part long, chunk long, bucket int, doc_ids array<long>, counts array<int>, sums array<long>, uses binary, body binary"
 
 
 def chunks(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
-    """For each chunk a row with its documents as indexes into its distinct units (bucket -1), and one for each bucket with those units."""
+    """For each chunk a row with its documents as numbers of its distinct units (bucket -1), and one for each bucket with those units.
+
+    The units are in order of bucket and bytes, which packs them well. A document gives a unit by its rank by use in
+    the chunk, which packs the documents well; `uses` says how often each unit occurs, and so its rank.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = random.SystemRandom()
@@ -202,17 +269,19 @@ def chunks(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
 
         def rows() -> pd.DataFrame:
             words = [w.encode("utf-8", "surrogatepass") for w in state["seen"]]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words), dtype=np.uint32)
-            index = place[np.concatenate(state["order"])] if state["order"] else place[:0]
-            planes = np.ascontiguousarray(index.view(np.uint8).reshape(-1, 4).T).tobytes()
-            chunk = rng.getrandbits(62)
-            out = [(part, chunk, -1, state["ids"], state["counts"], state["sums"], zstandard.ZstdCompressor(level=3).compress(planes))]
+            n = len(words)
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, n)
+            by_bytes = np.array(sorted(range(n), key=words.__getitem__), np.int64)
+            order = by_bytes[np.argsort(bucket[by_bytes], kind="stable")]
+            index = np.concatenate(state["order"]) if state["order"] else np.zeros(0, np.uint32)
+            uses = np.bincount(index, minlength=n)[order]
+            rank = np.empty(n, np.uint32)
+            rank[order[by_use(uses)]] = np.arange(n, dtype=np.uint32)
+            chunk, zip_ = rng.getrandbits(62), zstandard.ZstdCompressor(level=6).compress
+            out = [(part, chunk, -1, state["ids"], state["counts"], state["sums"], zip_(_planes(uses)), zip_(_planes(rank[index])))]
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out += [(part, chunk, b, None, None, None, _pack([words[i] for i in order[edge[b] : edge[b + 1]]])) for b in range(buckets) if edge[b] < edge[b + 1]]
-            return pd.DataFrame(out, columns=["part", "chunk", "bucket", "doc_ids", "counts", "sums", "body"])
+            out += [(part, chunk, b, None, None, None, None, _pack_words([words[i] for i in order[edge[b] : edge[b + 1]]])) for b in range(buckets) if edge[b] < edge[b + 1]]
+            return pd.DataFrame(out, columns=["part", "chunk", "bucket", "doc_ids", "counts", "sums", "uses", "body"])
 
         reset()
         for batch in batches:
@@ -232,8 +301,22 @@ def chunks(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, CHUNK)
 
 
+def by_use(uses: np.ndarray) -> np.ndarray:
+    return np.argsort(-uses, kind="stable")
+
+
+def _shown(word: bytes) -> str:
+    return word.decode("utf-8", "surrogatepass").replace(" ", SPACE)
+
+
 def _distinct(blobs) -> list[bytes]:
-    return sorted({w for b in blobs for w in _unpack(b)})
+    return sorted({w for b in blobs for w in _words(b)})
+
+
+def _by_chunk(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Joined on the bucketing column alone, so that the chunks stay in place; the chunk is compared on top."""
+    right = right.select(F.col("part").alias("__p"), F.col("chunk").alias("__c"), column)
+    return left.join(right, (F.col("part") == F.col("__p")) & (F.col("chunk") - F.col("__c") == 0), "left").drop("__p", "__c")
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,53 +335,77 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk_
     name = f"markloom_units_{uuid.uuid4().hex}"
     chunks(docs, chunk_bytes, buckets).write.bucketBy(tasks, "part").format("parquet").option("compression", "none").saveAsTable(name)
     written = spark.table(name)
-    kept = written.where("bucket = -1").select("part", "chunk", "doc_ids", "counts", "sums", "body")
-    sent = written.where("bucket >= 0").select("part", "chunk", "bucket", "body")
+    kept = written.where("bucket = -1").select("part", "chunk", "doc_ids", "counts", "sums", "uses", "body")
+    # dealt once, for both uses: the plan's two exchanges are the same one
+    sent = written.where("bucket >= 0").select("part", "chunk", "bucket", "body").repartition(buckets, "bucket")
 
     def unify(pdf: pd.DataFrame) -> pd.DataFrame:
         words = _distinct(pdf.body)
-        return pd.DataFrame({"bucket": pdf.bucket.iloc[0], "num": np.arange(len(words), dtype=np.int32), "word": [w.decode("utf-8", "surrogatepass") for w in words]})
+        return pd.DataFrame({"bucket": pdf.bucket.iloc[0], "num": np.arange(len(words), dtype=np.int32), "word": list(map(_shown, words))})
 
-    words = sent.groupBy("bucket").applyInPandas(unify, "bucket int, num int, word string").repartition("bucket")
-    edges = lattice(words, piece_frame(spark, model), model.longest, ["bucket", "num"])
-    score = model.score
-    rank = np.unique(-score, return_inverse=True)[1].tolist()
-    table = spark.sparkContext.broadcast((rank, model.bytes_at, model.unknown, model.surface))
+    # a bucket's edges are many times its words: the buckets stay apart, whatever the words' size suggests
+    words = sent.groupBy("bucket").applyInPandas(unify, "bucket int, num int, word string").repartition(buckets, "bucket")
+    edges = spans(words, piece_frame(spark, model), model.longest, ["bucket", "num"], shortest=2)
+    rank = np.unique(-model.score, return_inverse=True)[1].astype(np.int64)
+    table = spark.sparkContext.broadcast((rank, model))
 
     def answer(edge_pdf: pd.DataFrame, sent_pdf: pd.DataFrame) -> pd.DataFrame:
-        rank, at_bytes, unknown, _ = table.value
+        rank, _ = table.value
         if not len(sent_pdf):
-            return pd.DataFrame({"part": [], "chunk": [], "bucket": [], "ids": []}).astype({"part": "int64", "chunk": "int64", "bucket": "int32"})
-        words = _distinct(sent_pdf.body)
-        of = dict(zip(edge_pdf.num.tolist(), edge_pdf.edges, strict=True))
-        none = np.zeros(0, np.int64)
-        ids = {w: np.array(fold(w.decode("utf-8", "surrogatepass").replace(" ", SPACE), np.asarray(of.get(k, none), np.int64), rank, at_bytes, unknown), np.uint32).tobytes() for k, w in enumerate(words)}
-        return sent_pdf[["part", "chunk", "bucket"]].assign(ids=[_pack([ids[w] for w in _unpack(b)]) for b in sent_pdf.body])
-
-    answers = edges.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInPandas(answer, "part long, chunk long, bucket int, ids binary")
-    gathered = write_shared(spark, answers.groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("answers")), "ids")
-    right = gathered.select(F.col("part").alias("__p"), F.col("chunk").alias("__c"), "answers")
-    joined = kept.join(right, (F.col("part") == F.col("__p")) & (F.col("chunk") - F.col("__c") == 0), "left").drop("__p", "__c")
+            return pd.DataFrame({"part": [], "chunk": [], "bucket": [], "cuts": []}).astype({"part": "int64", "chunk": "int64", "bucket": "int32"})
+        blobs = [_words(b) for b in sent_pdf.body]
+        words = sorted(set().union(*blobs))
+        num, edge = edge_pdf.num.to_numpy(), edge_pdf.edge.to_numpy()
+        order = np.argsort(num, kind="stable")
+        at = np.searchsorted(num[order], np.arange(len(words) + 1)).tolist()
+        keys, ranks = (edge[order] // MAX_ID).tolist(), rank[edge[order] % MAX_ID].tolist()
+        cuts = {w: merge(len(w.decode("utf-8", "surrogatepass")), dict(zip(keys[lo:hi], ranks[lo:hi], strict=True))) for w, lo, hi in zip(words, at, at[1:], strict=False)}
+        return sent_pdf[["part", "chunk", "bucket"]].assign(cuts=[_pack_cuts(b, cuts) for b in blobs])
+
+    answers = edges.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInPandas(answer, "part long, chunk long, bucket int, cuts binary")
+    # dealt by the task that wrote the chunk, as its table is: they are grouped and joined where they arrive
+    gathered = answers.repartition(tasks, "part").groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "cuts"))).alias("cuts"))
+    own = written.where("bucket >= 0").groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias("words"))
+    joined = _by_chunk(_by_chunk(kept, gathered, "cuts"), own, "words")
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        surface = table.value[3]
+        _, model = table.value
+        surface = model.surface
         surface_lens = np.fromiter(map(len, surface), np.int64, len(surface))
         surface_flat = np.frombuffer(b"".join(surface), np.uint8)
         surface_starts = np.cumsum(surface_lens) - surface_lens
+        unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for row in batch.itertuples():
-                words = [np.frombuffer(x, np.uint32) for a in (row.answers if row.answers is not None else []) for x in _unpack(bytes(a["ids"]))]
-                lens = np.fromiter(map(len, words), np.int64, len(words))
-                flat = np.concatenate(words) if words else np.zeros(0, np.uint32)
-                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.body), np.uint8).reshape(4, -1)
-                index = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
-                last = np.cumsum(np.asarray(row.counts, np.int64))
-                out = []
-                for doc_id, lo, hi, total in zip(row.doc_ids, np.concatenate([[0], last[:-1]]), last, row.sums, strict=True):
-                    ids, _ = gather(flat, np.cumsum(lens) - lens, lens, index[lo:hi]) if hi > lo else (flat[:0], None)
-                    text, _ = gather(surface_flat, surface_starts, surface_lens, ids) if len(ids) else (surface_flat[:0], None)
-                    out.append((doc_id, ids.astype(np.int32), xxhash.xxh64_intdigest(text.tobytes()[1:]) - (1 << 63) == total))
-                yield pd.DataFrame(out, columns=["doc_id", "ids", "round_trip"]).astype({"doc_id": "Int64"})
+                flat, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+                for sent_, cut in zip(*((x if x is not None else []) for x in (row.words, row.cuts)), strict=True):
+                    text, begins = _characters(bytes(sent_["body"]))
+                    first = _cuts(bytes(cut["cuts"]), len(text))
+                    first[begins] = True
+                    tokens = np.flatnonzero(first)
+                    word = np.searchsorted(begins, tokens, "right") - 1
+                    ids, n = ids_of(text, tokens, word, model.pieces, model.bytes_at, model.unknown)
+                    flat.append(ids)
+                    lens.append(np.bincount(word, n, len(begins)).astype(np.int64))
+                flat, lens = np.concatenate(flat), np.concatenate(lens)
+                starts = np.cumsum(lens) - lens
+                uses, raw = unzip(row.uses), unzip(row.body)
+                index = by_use(_from_planes(uses, 0, len(uses) // 4).astype(np.int64))[_from_planes(raw, 0, len(raw) // 4)]
+                # some documents at once: ids by unit, then bytes by id, then cut at the documents' ends
+                units = np.concatenate([[0], np.cumsum(np.asarray(row.counts, np.int64))])
+                first = 0
+                while first < len(row.counts):
+                    after = max(first + 1, int(np.searchsorted(units, units[first] + GROUP_UNITS, "right")) - 1)
+                    ids, unit_ends = gather(flat, starts, lens, index[units[first] : units[after]])
+                    text, id_ends = gather(surface_flat, surface_starts, surface_lens, ids)
+                    last = np.concatenate([[0], unit_ends])[units[first : after + 1] - units[first]]
+                    ends = np.concatenate([[0], id_ends])[last].tolist()
+                    last, raw, ids, out = last.tolist(), text.tobytes(), ids.astype(np.int32), []
+                    for k in range(after - first):
+                        same = xxhash.xxh64_intdigest(raw[ends[k] + 1 : ends[k + 1]]) - (1 << 63) == row.sums[first + k]
+                        out.append((row.doc_ids[first + k], ids[last[k] : last[k + 1]], same))
+                    yield pd.DataFrame(out, columns=["doc_id", "ids", "round_trip"]).astype({"doc_id": "Int64"})
+                    first = after
 
     return joined.mapInPandas(assemble, "doc_id long, ids array<int>, round_trip boolean")
 

@@ -275,9 +275,11 @@ def test_communication_matrix():
 
 
 @pytest.mark.parametrize("chunk_bytes", [8 << 20, 300])
-def test_pieces_match_the_library(spark, chunk_bytes):
+def test_pieces_match_the_library(spark, chunk_bytes, monkeypatch):
     import sentencepiece
 
+    monkeypatch.setattr(pieces, "GROUP_UNITS", 50)
+
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rng = random.Random(7)
     docs = [(10 + k, prose(rng, 30) + rng.choice(["", " ", "\n", "  ", "日本 😀", "ﬁ", "aaaaaaa"])) for k in range(30)] + [(90, "abc" * 3000)] + EDGE
