@@ -182,8 +182,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFra
 
     A document left without words is dropped only if it had a hit. Columns stay as they are.
     """
-    blocks = list(blocks_of_items(benchmark, BROADCAST_LIMIT_BYTES // 32))
-    for block in blocks:
+    for block in blocks_of_items(benchmark, BROADCAST_LIMIT_BYTES // 32):
         shared = spark.sparkContext.broadcast(tables(block, size))
         docs = _cut(docs, shared)
     return docs
