@@ -62,7 +62,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0": ("Dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain."),
-    "Proprietary": ("All rights reserved. Unauthorized copying of this file is strictly prohibited.", "This software is proprietary and confidential."),
+    "Proprietary": ("All rights reserved.", "All rights reserved. Unauthorized copying of this file is strictly prohibited.", "This software is proprietary and confidential."),
 }
 #: Prose that is no licence, near misses among it.
 OTHER = (

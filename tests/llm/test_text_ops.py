@@ -167,6 +167,12 @@ def test_licences(spark):
     assert lic.scan(spark, frame(spark, [])).count() == 0
 
 
+def test_all_rights_reserved_alone(spark):
+    docs = [(1, "All rights reserved."), (2, "prose before\nCopyright 2020 Ada Lovelace. All rights reserved.\nprose"), (3, "all seats are reserved by rights\nall rights")]
+    got = {r.doc_id: (r.n_licence, r.families) for r in lic.digest(lic.scan(spark, frame(spark, docs))).collect()}
+    assert got == {1: (1, "Proprietary"), 2: (1, "Proprietary"), 3: (0, "")}
+
+
 def test_licence_model_held_out():
     model = lic.train()
     kept = [(w, f) for k, (w, f) in enumerate(lic.training_paragraphs()) if k % 5 == 4 and (f == lic.UNKNOWN or model.confirmed(w, f))]
