@@ -1,12 +1,17 @@
 """Licence scan by a trained paragraph classifier.
 
-Paragraphs are the lines of a text. A softmax regression over sparse word n-grams (one and two words, hashed to
+Paragraphs are the lines of a text, and windows of words that cross line ends within a run of lines that aren't blank
+(a line of comment marks is blank), as notices are wrapped. A window is where a template's shingles lie: at least 0.8
+of them within twice the template's words. A softmax regression over sparse word n-grams (one and two words, hashed to
 nothing: the vocabulary is that of the training paragraphs) tells the licence families and "unknown". It is trained on
 variations of the notices below (words dropped, put in prose, cut short, other versions and holders) against general
 prose and near misses, on a fixed number of paragraphs. A temperature and the smallest probability that counts as
 known are calibrated on paragraphs left out of the fit. A prediction stands only if the paragraph holds a template of
 the family: at least 0.8 of a template's shingles of five words (all words where a template has fewer).
 
+n_paragraphs counts the lines with text. Each line is answered as a whole; a window counts besides its lines only where
+none of them has the window's family, and its line is the first one.
+
 Null and empty texts have no paragraphs and no licence; paragraphs without a word of the vocabulary are unknown. Only
 doc_id and text are read; rows are answered one by one, so nulls and repeats need no rule.
 """
@@ -31,6 +36,8 @@ VARIATIONS = 30
 SEED = 11
 UNKNOWN = "unknown"
 WORD = re.compile(rb"[0-9a-z]+")
+#: What lines between the paragraphs of a comment may hold.
+MARKS = b" \t\r\x0b\f#*/;%-<>!|"
 
 #: Notices by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -156,6 +163,55 @@ class Model:
         return False
 
 
+class Windows:
+    """Where the templates' shingles lie in the words of several lines."""
+
+    def __init__(self, templates: dict[str, list[set]]):
+        self.templates = [(len(t), len(next(iter(t)))) for ts in templates.values() for t in ts]
+        self.index: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+        for k, t in enumerate(t for ts in templates.values() for t in ts):
+            for s in t:
+                self.index.setdefault(len(s), {}).setdefault(s, []).append(k)
+        self.starts = {size: {s[0] for s in own} for size, own in self.index.items()}
+
+    def search(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """First and last word of the windows, by template and place."""
+        places: dict[int, list[tuple[int, tuple[bytes, ...]]]] = {}
+        for size, own in self.index.items():
+            starts = self.starts[size]
+            for at, word in enumerate(words):
+                if word in starts and (shingle := tuple(words[at : at + size])) in own:
+                    for k in own[shingle]:
+                        places.setdefault(k, []).append((at, shingle))
+        return sorted({w for k, found in places.items() for w in self.of_template(found, *self.templates[k])})
+
+    @staticmethod
+    def of_template(found: list[tuple[int, tuple[bytes, ...]]], n: int, size: int) -> Iterator[tuple[int, int]]:
+        reach, least, first, count, full = 2 * (n + size - 1), CONTAINMENT * n, 0, Counter(), False
+        for last, (at, shingle) in enumerate(found):
+            if full and (at - found[first][0] + size > reach or count[shingle]):
+                yield found[first][0], found[last - 1][0] + size - 1
+                first, count, full = last, Counter(), False
+            count[shingle] += 1
+            while at - found[first][0] + size > reach or count[found[first][1]] > 1:
+                count[found[first][1]] -= 1
+                count += Counter()
+                first += 1
+            full = len(count) >= least
+        if full:
+            yield found[first][0], found[-1][0] + size - 1
+
+
+def runs(lines: list[bytes], words: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """First line and end of the runs of at least two lines that aren't blank."""
+    first = 0
+    for k in range(len(lines) + 1):
+        if k == len(lines) or not words[k] and not lines[k].strip(MARKS):
+            if k - first > 1:
+                yield first, k
+            first = k + 1
+
+
 def train(rounds: int = 150, l2: float = 1e-4) -> Model:
     rows = training_paragraphs()
     families = [*TEMPLATES, UNKNOWN]
@@ -200,6 +256,25 @@ def train(rounds: int = 150, l2: float = 1e-4) -> Model:
     return Model(families, vocabulary, w.astype(np.float32), b, temperature, least, templates)
 
 
+def wrapped(model: Model, windows: Windows, lines: list[bytes], words: list[list[bytes]], cued: list[bool], found: list[dict]) -> list[dict]:
+    """The licence paragraphs that cross line ends; `found` are those of single lines."""
+    taken, more = {(x["line"], x["family"]) for x in found}, []
+    for first, end in runs(lines, words):
+        if not any(cued[first:end]):
+            continue
+        joined = [w for ws in words[first:end] for w in ws]
+        line_of = [k for k in range(first, end) for _ in words[k]]
+        for a, b in windows.search(joined):
+            if line_of[a] == line_of[b]:
+                continue
+            family, p = model.predict(joined[a : b + 1])
+            own = {(k, family) for k in range(line_of[a], line_of[b] + 1)}
+            if family != UNKNOWN and taken.isdisjoint(own):
+                taken |= own
+                more.append({"line": line_of[a], "family": family, "probability": p})
+    return more
+
+
 def scan(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_paragraphs, found (line number from 0, family, probability of each licence paragraph)."""
     shared = spark.sparkContext.broadcast(model or train())  # a few MB, fixed by the templates
@@ -208,17 +283,21 @@ def scan(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> Da
         own = shared.value
         # a paragraph can only be confirmed if it has a word of a template that prose hasn't
         cue = {w for ts in own.templates.values() for t in ts for s in t for w in s} - {w for line in OTHER for w in words_of(line.encode())} | {b"apache", b"mit", b"license", b"mozilla", b"public", b"released"}
+        windows = Windows(own.templates)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                found, lines = [], [line for line in text.lower().split(b"\n")]
-                for k, line in enumerate(lines):
-                    words = WORD.findall(line)
-                    if cue.isdisjoint(words):
-                        continue
-                    family, p = own.predict(words)
-                    if family != UNKNOWN:
-                        found.append({"line": k, "family": family, "probability": p})
+                found, lines = [], text.lower().split(b"\n")
+                words = [WORD.findall(line) for line in lines]
+                cued = [not cue.isdisjoint(ws) for ws in words]
+                for k, ws in enumerate(words):
+                    if cued[k]:
+                        family, p = own.predict(ws)
+                        if family != UNKNOWN:
+                            found.append({"line": k, "family": family, "probability": p})
+                if any(cued):
+                    found += wrapped(own, windows, lines, words, cued, found)
+                    found.sort(key=lambda x: x["line"])
                 out.append((doc_id, sum(1 for line in lines if line.strip()), found))
             yield pd.DataFrame(out, columns=["doc_id", "n_paragraphs", "found"]).astype({"doc_id": "Int64"})
 

@@ -173,6 +173,29 @@ def test_all_rights_reserved_alone(spark):
     assert got == {1: (1, "Proprietary"), 2: (1, "Proprietary"), 3: (0, "")}
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+BSD = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions are met:\r\n#\r\n# 1. Redistributions of source code"
+GPL = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
+
+
+def test_wrapped_licences(spark):
+    docs = [(1, "prose\n\n" + MIT), (2, BSD), (3, GPL.format(3)), (4, GPL.format(2)), (5, MIT + "\n" + MIT + "\n\n" + BSD), (6, "Released under the MIT\nLicense. All rights\nreserved.")]
+    docs += [(7, MIT.replace("copy\n", "copy\n\n")), (8, "Released under the MIT License.\nReleased under the MIT License."), (9, MIT.replace("\n", " ")), (10, "the terms of the GNU\nGeneral Public License\nas published")]
+    got = {r.doc_id: ([x.line for x in r.found], [x.family for x in r.found]) for r in lic.scan(spark, frame(spark, docs)).collect()}
+    assert got == {
+        1: ([2], ["MIT"]),
+        2: ([0], ["BSD"]),
+        3: ([1], ["GPL-3.0"]),
+        4: ([1], ["GPL-2.0"]),
+        5: ([0, 3, 7], ["MIT", "MIT", "BSD"]),
+        6: ([0, 1], ["MIT", "Proprietary"]),
+        7: ([], []),
+        8: ([0, 1], ["MIT", "MIT"]),
+        9: ([0], ["MIT"]),
+        10: ([], []),
+    }
+
+
 def test_licence_model_held_out():
     model = lic.train()
     kept = [(w, f) for k, (w, f) in enumerate(lic.training_paragraphs()) if k % 5 == 4 and (f == lic.UNKNOWN or model.confirmed(w, f))]
