@@ -84,14 +84,18 @@ def scan(words: list[bytes], searches: list[WuManber]) -> tuple[list[tuple[int,
         for last, own in search.search(words):
             found.append((last - search.length + 1, last))
             items |= own
-    found.sort()
+    return merged(found), items
+
+
+def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, sorted; neighbours become one."""
     spans: list[tuple[int, int]] = []
-    for first, last in found:
+    for first, last in sorted(found):
         if spans and first <= spans[-1][1] + 1:
             spans[-1] = (spans[-1][0], max(last, spans[-1][1]))
         else:
             spans.append((first, last))
-    return spans, items
+    return spans
 
 
 def blocks_of_items(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -177,34 +181,73 @@ def item_sha256(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BROADCAST_LIMIT_BYTES // 32) -> DataFrame:
     """Documents with every hit word cut out, from the first byte of a span to its last; clean ones as they are.
 
-    A document left without words is dropped only if it had a hit. Columns stay as they are.
+    Every block of items searches the unchanged texts; the union of the blocks' spans is cut once. With several blocks
+    the spans meet the rows by a hash of the text, as equal texts have equal spans. A document left without words is
+    dropped only if it had a hit. Columns stay as they are.
     """
-    for block in blocks_of_items(benchmark, BROADCAST_LIMIT_BYTES // 32):
-        shared = spark.sparkContext.broadcast(tables(block, size))
-        docs = _cut(docs, shared)
-    return docs
+    shared = [spark.sparkContext.broadcast(tables(block, size)) for block in blocks_of_items(benchmark, block_bytes)]
+    if len(shared) == 1:
+        return _cut(docs, _searched(shared[0]), "text")
+    found = None
+    for one in shared:
+        part = docs.where("text is not null").select(_text_key(), "text").mapInPandas(_hits(one), "__key binary, spans array<struct<first:int,last:int>>")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("__key").agg(F.flatten(F.collect_set("spans")).alias("__spans"))
+    return _cut(docs.withColumn("__key", _text_key()).join(found, "__key", "left"), _merged_and_cut, "text", "__spans").drop("__key", "__spans")
+
+
+def _text_key():
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("__key")
+
 
+def _hits(shared):
+    """The key and spans of each text with a hit."""
 
-def _cut(docs: DataFrame, shared) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, text in zip(batch["__key"], batch.text, strict=True):
+                spans, _ = scan(words_of(text.encode()), shared.value)
+                if spans:
+                    out.append((key, [{"first": a, "last": b} for a, b in spans]))
+            yield pd.DataFrame(out, columns=["__key", "spans"])
+
+    return run
+
+
+def _searched(shared):
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else cut_text(t, shared.value))
 
+    return cut
+
+
+def _merged_and_cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or own is None else cut_spans(t, merged([(s["first"], s["last"]) for s in own])) for t, own in zip(texts, spans, strict=True)], dtype=object)
+
+
+def _cut(docs: DataFrame, cut, *columns: str) -> DataFrame:
     cut_udf = F.pandas_udf(cut, "string")
     name = "__cut"
-    done = docs.withColumn(name, cut_udf(F.col("text")))
+    done = docs.withColumn(name, cut_udf(*columns))
     kept = done.where(F.col(name).eqNullSafe(F.col("text")) | (F.length(F.trim(F.coalesce(F.col(name), F.lit("")))) > 0))
     return kept.withColumn("text", F.col(name)).drop(name)
 
 
 def cut_text(text: str, searches: list[WuManber]) -> str:
-    raw = text.encode()
-    at = [m.span() for m in WORD.finditer(raw.lower())]
-    spans, _ = scan([raw[a:b].lower() for a, b in at], searches)
+    spans, _ = scan(words_of(text.encode()), searches)
+    return cut_spans(text, spans)
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans, which are merged, and what is between them."""
     if not spans:
         return text
+    raw = text.encode()
+    at = [m.span() for m in WORD.finditer(raw.lower())]
     out, last = [], 0
     for first, end in spans:
         out.append(raw[last : at[first][0]])

@@ -76,6 +76,23 @@ def test_cut_leaves_clean_documents_alone(spark):
     assert got == {1: "before,  after", 2: "clean Text", 3: None}
 
 
+def test_cut_is_the_same_in_blocks(spark):
+    rng = random.Random(4)
+    passage = [f"b{i}" for i in range(30)]
+    # windows 1 and 2 overlap; the c words of document 2 become neighbours once the rest is cut
+    items = [(1, " ".join(passage[:10])), (2, " ".join(passage[5:16])), (3, " ".join(passage[11:25])), (4, "c1 c2 c3 c4 c5 c6 c7 c8 c9 c10"), (5, "x y"), (None, "clean")]
+    docs = [(1, "before, " + ", ".join(passage) + " after"), (2, "c1 c2 c3 c4 c5 " + " ".join(passage[:25]) + " c6 c7 c8 c9 c10"), (3, "x " + " ".join(passage[:10]) + " y"), (4, None), (5, ""), (6, "clean"), (7, " ".join(passage[:16])), (8, "x y"), (8, "x y"), (None, "ü x y é"), (8, "x Y z")]
+    docs += [(100 + k, prose(rng, 60, ["x", "y", *passage[:3], "é;"])) for k in range(30)]
+    docs, items = frame(spark, docs, clash=("spans", "lang")), frame(spark, items, "item_id long, text string")
+    whole, small = (D.remove_contaminated(spark, docs, items, block_bytes=n) for n in (1 << 20, 1))
+    assert small.columns == whole.columns == docs.columns
+    told = sorted(map(tuple, whole.collect()), key=str)
+    assert sorted(map(tuple, small.collect()), key=str) == told
+    texts = {r[0]: r[1] for r in told}
+    assert texts[1] == "before, , " + ", ".join(passage[25:]) + " after" and texts[3] == "x  y" and 7 not in texts
+    assert texts[2].split() == [f"c{i}" for i in range(1, 11)]
+
+
 # --- lines --------------------------------------------------------------------------------------------------------------
 
 
