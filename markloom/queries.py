@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, images, metrics, pycode, scripts
-from .operators import augment, corpus, dataset, extract, report
+from .operators import augment, corpus, dataset, extract, overlap, report
 from .plans.compile import compile_spec
 from .sources import sinks
 
@@ -342,6 +342,22 @@ def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size(overlap["matched"]).cast("long").alias("matched"), F.round(overlap["api_sim"], 6).alias("recall"), F.round(overlap["jaccard"], 6).alias("jaccard"))
 
 
+#: Items whose words are broadcast at once.
+RECALL_ITEMS = 1024
+
+
+@query(
+    """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) w FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) w FROM benchmark)
+    SELECT doc_id, item_id, len(list_intersect(b.w, d.w)) AS matched, round(CASE WHEN len(b.w) > 0 THEN len(list_intersect(b.w, d.w)) / CAST(len(b.w) AS DOUBLE) ELSE 0 END, 6) AS recall,
+    round(CASE WHEN len(list_distinct(list_concat(b.w, d.w))) > 0 THEN len(list_intersect(b.w, d.w)) / CAST(len(list_distinct(list_concat(b.w, d.w))) AS DOUBLE) ELSE 0 END, 6) AS jaccard FROM d, b"""
+)
+def token_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_recall for each item of benchmark, not only the first one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _words(F.col("text")).alias("words"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", _words(F.col("text")).alias("words"))
+    return overlap.all_pairs(spark, docs, items, RECALL_ITEMS).withColumns({n: F.round(n, 6) for n in ("recall", "jaccard")})
+
+
 # --- reports ------------------------------------------------------------------------------------------------------------
 
 _SCORED = """(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS run, quality = 1 AS execution_success, (doc_id % 97) / 97.0 AS ssim, (doc_id % 89) / 89.0 AS bleu, (doc_id % 83) / 83.0 AS edit_sim, (doc_id % 79) / 79.0 AS api_sim FROM labels)"""
