@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -19,30 +20,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Only a local session that has none gets a temporary one."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='markloom-')}"
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def write_shared(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/markloom/{spark.sparkContext.applicationId}"
+
+
+def write_shared(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes `df` to the shared folder and reads it back: lineage ends there, so a lost executor costs a reread only."""
-    path = f"{shared_dir(spark)}/markloom/{uuid.uuid4().hex}/{name}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 
 
+def write_bucketed(spark: SparkSession, df: DataFrame, name: str, buckets: int, columns: list[str], sort_by: list[str] | None = None, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
+    """The same as a table bucketed by `columns`, so that joins and groups on them move nothing."""
+    key = uuid.uuid4().hex
+    path, table_name = f"{_own_dir(spark)}/{key}/{name}", f"markloom_{name}_{key}"
+    writer = df.write.format("parquet").option("compression", compression).option("path", path).bucketBy(buckets, *columns)
+    writer = writer.sortBy(*sort_by) if sort_by else writer
+    (writer.partitionBy(partition_by) if partition_by else writer).saveAsTable(table_name)
+    out = spark.table(table_name)
+    out.shared_path, out.shared_table = path, table_name
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop_shared(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes what write_shared() wrote, once nothing reads it any more."""
+    """Deletes what write_shared() or write_bucketed() wrote, once nothing reads it any more."""
+    if table_name := getattr(df, "shared_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
     if path := getattr(df, "shared_path", None):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(spark, path.rsplit("/", 1)[0])
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that the operators of this session wrote. Results are lazy and read it: save them first."""
+    for row in spark.sql("SHOW TABLES LIKE 'markloom_*'").collect():
+        spark.sql(f"DROP TABLE IF EXISTS {row.tableName}")
+    _delete(spark, _own_dir(spark))
 
 
 def text_bytes(col: str = "text"):
@@ -70,3 +101,14 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 
 def crc_mod(doc_id, mod: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % mod
+
+
+def bucket_keys(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket of a table bucketed by a long, a number that falls into it: tasks that take turns fill all alike."""
+    found: dict[int, int] = {}
+    first, step = 0, 64 * buckets
+    while len(found) < buckets:
+        ids = spark.range(first, first + step, 1, 1)
+        found |= dict(ids.groupBy(F.pmod(F.hash("id"), F.lit(buckets))).agg(F.min("id")).collect())
+        first += step
+    return [found[b] for b in range(buckets)]

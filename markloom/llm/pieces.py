@@ -1,18 +1,21 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut into units: a run of spaces with the word after it. No piece reaches over a unit's end, so each distinct
-unit is encoded once. The units go to buckets by hash; their substrings of at most the longest piece's length are
-exploded and equi-joined to the piece table, which gives the lattice's edges, grouped by unit. The fold over a unit's
-edges gives its tokens: for unigram models the best path (`viterbi`, a higher-order aggregate), for BPE models the
-merges in order of rank (`merge`), since a best path by score isn't what a BPE model defines. Characters outside the
-piece table fall back to bytes, or to the unknown id if the model has no bytes.
+A text is cut into units that no piece reaches over: at spaces, and between neighbours that no piece has side by side.
+So each distinct unit is encoded once. The units go to buckets by hash; their substrings of at most the longest piece's
+length are exploded and equi-joined to the piece table, which gives the lattice's edges, grouped by unit and folded by
+a higher-order aggregate: for BPE models over merge steps, each of which takes the best ranked, then leftmost edge that
+joins two tokens (`merge_fold`); for unigram models over ends, with the best path to each (`viterbi`). A best path by
+score isn't what a BPE model defines. Characters outside the piece table fall back to bytes, or to the unknown id if the
+model has no bytes.
 
 Texts are read once. What moves is a chunk's distinct units, packed by bucket; what comes back is a bit for each of
 their characters, whether a token begins there. The sequence of units stays in a table bucketed by the task that wrote
 it, and is joined to the answers there.
 
-The piece table is broadcast; its size is that of the model file. Null text is empty and has no ids. Rows are
-encoded one by one: repeated and null ids need no rule. Only doc_id and text are read.
+The piece table is broadcast; its size is that of the model file. Null text is empty and has no ids. Bytes that aren't
+UTF-8 are replaced, and such a row doesn't make the round trip. Rows are encoded one by one: repeated and null ids need
+no rule. A text may be of any length; a unit of more than FOLD_LENGTH characters is merged by a heap instead of the
+fold, whose steps would be quadratic. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -22,28 +25,38 @@ import random
 import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
+from .common import bucket_keys, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-UNIT = re.compile(r" *[^ ]+| +")
+WORD = r" *[^ ]+| +"
 CHUNK_BYTES = 12 << 20
+LEVEL = 6
 #: Units of the documents that are put together at once.
 GROUP_UNITS = 100_000
 #: Buckets per shuffle partition.
 BUCKETS = 4
 #: A unit is exploded in pieces of so many first characters, so that a very long one is no quadratic string.
 SEGMENT = 512
-MAX_ID, MAX_LEN = 1 << 20, 64
+MAX_ID, MAX_LEN, MAX_START = 1 << 20, 64, 1 << 36
+#: Characters of a unit whose token boundaries fit into the fold's state, a long.
+FOLD_LENGTH = 62
+#: Texts whose encoding tells a model with another algorithm or with a normaliser.
+PROBES = ("the quick  brown fox,", "ﬁ Ａ½ é e\u0301 \u00ad", " lead and trail \t\n", "unbelievably internationalisation", "aaaaaaaa 12345")
 
 
 @dataclass
@@ -53,14 +66,20 @@ class Model:
     surface: list[bytes]
     bytes_at: int | None
     unknown: int
+    unit: str
 
     @property
     def longest(self) -> int:
         return max(map(len, self.pieces))
 
+    @property
+    def rank(self) -> np.ndarray:
+        """The place of each id in the order of merges."""
+        return np.unique(-self.score, return_inverse=True)[1].astype(np.int64)
+
 
 def load(path: str = MODEL) -> Model:
-    """The table of a model file; the library reads the file and does no encoding."""
+    """The table of a model file. The library reads the file; it encodes nothing but PROBES, which must come out alike."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -70,19 +89,64 @@ def load(path: str = MODEL) -> Model:
         raise ValueError("pieces that reach over words, or too many or too long, aren't supported")
     byte_ids = [i for i in ids if m.is_byte(i)]
     surface = [b"" if m.is_control(i) else bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else " ⁇ ".encode() if m.is_unknown(i) else m.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
-    return Model(normal, np.array([m.get_score(i) for i in ids]), surface, byte_ids[0] if byte_ids else None, m.unk_id())
+    # neighbouring unknowns are one token: where they are, a unit must be a whole word
+    model = Model(normal, np.array([m.get_score(i) for i in ids]), surface, byte_ids[0] if byte_ids else None, m.unk_id(), unit_pattern(normal) if byte_ids else WORD)
+    for probe in PROBES:
+        if encode_text(probe, model) != m.encode(probe):
+            raise ValueError("only BPE models that take a text as it is are supported")
+    return model
+
+
+def unit_pattern(pieces) -> str:
+    """A pattern whose matches no piece reaches over.
+
+    Characters that stand side by side in some piece are of one kind, and so on; a unit is a run of spaces with a run
+    of one kind after it.
+    """
+    kind: dict[str, str] = {}
+
+    def of(c: str) -> str:
+        while kind.setdefault(c, c) != c:
+            kind[c] = c = kind[kind[c]]
+        return c
+
+    for p in pieces:
+        p = p.lstrip(SPACE)
+        for a, b in zip(p, p[1:], strict=False):
+            kind[of(a)] = of(b)
+    kinds = defaultdict(list)
+    for c in kind:
+        kinds[of(c)].append(c)
+    runs = sorted((sorted(k) for k in kinds.values()), key=lambda k: (-len(k), k))
+    return "|".join([*(f" *[{''.join(map(re.escape, k))}]+" for k in runs), r" *[^ ]", " +"])
 
 
-def units_of(text: str) -> list[str]:
-    return UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+def units_of(text: str, unit: re.Pattern) -> list[str]:
+    return unit.findall(" " + text.replace(SPACE, " ")) if text else []
+
+
+def encode_text(text: str, model: Model) -> list[int]:
+    """The ids of one text, here and now."""
+    out, rank = [], model.rank
+    for u in units_of(text, re.compile(model.unit, re.S)):
+        word = u.replace(" ", SPACE)
+        edges = [_edge(rank[model.pieces[word[a:b]]], a, b - a) for a in range(len(word)) for b in range(a + 2, min(len(word), a + MAX_LEN) + 1) if word[a:b] in model.pieces]
+        starts = np.array(merge_long(len(word), edges)[:-1])
+        out += ids_of(word, starts, np.zeros(len(starts)), model.pieces, model.bytes_at, model.unknown)[0].tolist()
+    return out
+
+
+def _edge(rank: int, start: int, length: int) -> int:
+    return (int(rank) * MAX_START + start) * MAX_LEN + length
 
 
 def piece_frame(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame({"piece": list(model.pieces), "id": list(model.pieces.values())}), "piece string, id int")
+    ids = list(model.pieces.values())
+    return spark.createDataFrame(pd.DataFrame({"piece": list(model.pieces), "id": ids, "rank": model.rank[ids]}), "piece string, id int, rank long")
 
 
 def spans(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str], shortest: int = 1) -> DataFrame:
-    """keys and edge of the units in column `word` (SPACE for spaces), a row for each substring that is a piece: (start * MAX_LEN + length) * MAX_ID + id.
+    """keys, start, length and the piece's columns for each substring of the units in column `word` (SPACE for spaces) that is a piece.
 
     The join is on a hash of the substring, a number, and the strings are compared where the hashes agree.
     """
@@ -96,40 +160,37 @@ def spans(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str], sh
     same = F.startswith("sub", F.col("piece")) & F.startswith("piece", F.col("sub"))
     table = pieces.where(F.length("piece") >= shortest).withColumn("piece_hash", F.xxhash64("piece"))
     edges = subs.join(F.broadcast(table), (F.col("hash") == F.col("piece_hash")) & same)
-    return edges.select(*keys, ((F.col("start") * MAX_LEN + F.col("length")) * MAX_ID + F.col("id")).alias("edge"))
+    return edges.select(*keys, "start", "length", *(c for c in pieces.columns if c != "piece"))
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
-    """The edges of each unit as one array."""
-    return spans(words, pieces, longest, keys).groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
+    """The edges of each unit as one array of (start, length, id), for `viterbi`."""
+    return spans(words, pieces, longest, keys).groupBy(*keys).agg(F.collect_list(F.struct("start", "length", "id")).alias("edges"))
 
 
-def merge(n: int, ranks: dict[int, int]) -> list[int]:
-    """BPE over n characters: where the tokens begin and end. `ranks` has the rank of each piece by start * MAX_LEN + length.
+def merges(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
+    """keys, n and edges of each unit that has pieces of two characters or more, as numbers in the order of merging."""
+    packed = ((F.col("rank") * MAX_START + F.col("start")) * MAX_LEN + F.col("length")).alias("edge")
+    own = [*keys, "n"]
+    return spans(words.withColumn("n", F.length("word")), pieces, longest, own, shortest=2).select(*own, packed).groupBy(*own).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
-    Of the neighbours whose union is a piece, the best ranked and then leftmost merge.
+
+def merge_fold(edges: str, n: str) -> Column:
+    """BPE as a fold over merge steps: the state is a long with a bit for each place where a token begins or ends.
+
+    `edges` are sorted by rank, then start. An edge joins two tokens if its ends are set and one place between them is;
+    each step takes the first such edge and clears that place. n is at most FOLD_LENGTH.
     """
-    if n >= MAX_LEN:
-        return _merge_long(n, ranks)
-    none, get, ends = 1 << 60, ranks.get, list(range(n + 1))
-    now = [get(a * MAX_LEN + 2, none) for a in range(n - 1)]
-    while now:
-        best = min(now)
-        if best == none:
-            break
-        i = now.index(best)
-        del ends[i + 1], now[i]
-        if i:
-            a = ends[i - 1]
-            now[i - 1] = get(a * MAX_LEN + ends[i + 1] - a, none)
-        if i < len(now):
-            a = ends[i]
-            now[i] = get(a * MAX_LEN + ends[i + 2] - a, none)
-    return ends
+    start, length = f"cast(shiftright(e, 6) & {MAX_START - 1} as int)", f"cast(e & {MAX_LEN - 1} as int)"
+    masks = f"struct(shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}) as ends, shiftleft(shiftleft(1L, {length} - 1) - 1L, {start} + 1) as inner)"
+    first = "get(filter(open, e -> (at & e.ends) = e.ends and bit_count(at & e.inner) = 1), 0).inner"
+    fold = f"aggregate(sequence(1, least({n} - 1, size({edges}))), shiftleft(1L, {n} + 1) - 1L, (at, step) -> at & ~coalesce({first}, 0L))"
+    return F.expr(f"transform(array(transform({edges}, e -> {masks})), open -> {fold})[0]")
 
 
-def _merge_long(n: int, ranks: dict[int, int]) -> list[int]:
-    """The same with a heap, for units of any length."""
+def merge_long(n: int, edges: list[int]) -> list[int]:
+    """The same for units of any length, with a heap: where the tokens begin and end."""
+    ranks = {e % (MAX_START * MAX_LEN): e // (MAX_START * MAX_LEN) for e in edges}
     after, before = list(range(1, n + 2)), list(range(-1, n))
     heap: list[tuple[int, int, int, int]] = []
 
@@ -206,7 +267,7 @@ def _from_planes(raw: bytes, at: int, n: int) -> np.ndarray:
 
 
 def _pack(lens: np.ndarray, body: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(len(lens).to_bytes(4, "little") + _planes(lens) + body)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(len(lens).to_bytes(4, "little") + _planes(lens) + body)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -233,15 +294,19 @@ def _characters(blob: bytes) -> tuple[str, np.ndarray]:
     return _shown(body), (np.cumsum(heads) - heads)[begins] if len(lens) else begins
 
 
-def _pack_cuts(words: list[bytes], cuts: dict[bytes, list[int]]) -> bytes:
-    """A bit for each character of the words, one after the other: whether a token begins there inside its word."""
-    at, n = [], 0
-    for w in words:
-        ends = cuts[w]
-        at += [n + e for e in ends[1:-1]]
-        n += ends[-1]
-    flags = np.zeros(n, bool)
-    flags[at] = True
+def _pack_cuts(lens: np.ndarray, at: np.ndarray, long: dict[int, list[int]]) -> bytes:
+    """A bit for each character of some words, one after the other: whether a token begins there.
+
+    `at` has the fold's result for each word, `long` the token ends of those words that have none.
+    """
+    begins = np.cumsum(lens) - lens
+    flags = np.zeros(int(lens.sum()), bool)
+    for k in range(1, int(min(lens.max(initial=0), FOLD_LENGTH))):
+        own = begins[(lens > k) & (at >> k & 1 > 0)]
+        flags[own + k] = True
+    for w, ends in long.items():
+        flags[begins[w] : begins[w] + lens[w]] = False
+        flags[begins[w] + np.array(ends[:-1])] = True
     return zlib.compress(np.packbits(flags).tobytes(), 1)
 
 
@@ -249,56 +314,65 @@ def _cuts(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(blob), np.uint8), count=n).astype(bool)
 
 
-CHUNK = "part long, chunk long, bucket int, doc_ids array<long>, counts array<int>, sums array<long>, uses binary, body binary"
-
-
-def chunks(docs: DataFrame, chunk_bytes: int, buckets: int) -> DataFrame:
-    """For each chunk a row with its documents as numbers of its distinct units (bucket -1), and one for each bucket with those units.
-
-    The units are in order of bucket and bytes, which packs them well. A document gives a unit by its rank by use in
-    the chunk, which packs the documents well; `uses` says how often each unit occurs, and so its rank.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = random.SystemRandom()
-        part = rng.getrandbits(62)
-        state: dict = {}
-
-        def reset() -> None:
-            state.update(ids=[], counts=[], sums=[], seen={}, order=[], held=0)
-
-        def rows() -> pd.DataFrame:
-            words = [w.encode("utf-8", "surrogatepass") for w in state["seen"]]
-            n = len(words)
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, n)
-            by_bytes = np.array(sorted(range(n), key=words.__getitem__), np.int64)
-            order = by_bytes[np.argsort(bucket[by_bytes], kind="stable")]
-            index = np.concatenate(state["order"]) if state["order"] else np.zeros(0, np.uint32)
-            uses = np.bincount(index, minlength=n)[order]
-            rank = np.empty(n, np.uint32)
-            rank[order[by_use(uses)]] = np.arange(n, dtype=np.uint32)
-            chunk, zip_ = rng.getrandbits(62), zstandard.ZstdCompressor(level=6).compress
-            out = [(part, chunk, -1, state["ids"], state["counts"], state["sums"], zip_(_planes(uses)), zip_(_planes(rank[index])))]
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out += [(part, chunk, b, None, None, None, None, _pack_words([words[i] for i in order[edge[b] : edge[b + 1]]])) for b in range(buckets) if edge[b] < edge[b + 1]]
-            return pd.DataFrame(out, columns=["part", "chunk", "bucket", "doc_ids", "counts", "sums", "uses", "body"])
-
-        reset()
+CHUNK = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("sums", pa.list_(pa.int64())), ("uses", pa.binary()), ("body", pa.binary())])
+ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+
+
+class Units:
+    """The documents of a chunk as numbers of its distinct units."""
+
+    def __init__(self):
+        self.ids, self.counts, self.sums, self.order, self.held = [], [], [], [], 0
+        self.seen: dict[str, int] = defaultdict()
+        self.seen.default_factory = self.seen.__len__
+
+    def add(self, doc_id: int | None, raw: bytes, unit: re.Pattern) -> None:
+        units = units_of(raw.decode("utf-8", "replace"), unit)
+        self.order.append(np.fromiter(map(self.seen.__getitem__, units), np.uint32, len(units)))
+        self.ids.append(doc_id)
+        self.counts.append(len(units))
+        self.sums.append(xxhash.xxh64_intdigest(raw) - (1 << 63))
+        self.held += len(raw)
+
+    def rows(self, part: int, chunk: int, buckets: int) -> pa.RecordBatch:
+        """A row with the documents (bucket -1), and one for each bucket with its units.
+
+        The units are in order of bucket and bytes, which packs them well. A document gives a unit by its rank by use
+        in the chunk, which packs the documents well; `uses` says how often each unit occurs, and so its rank.
+        """
+        words = [w.encode() for w in self.seen]
+        n = len(words)
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, n)
+        by_bytes = np.array(sorted(range(n), key=words.__getitem__), np.int64)
+        order = by_bytes[np.argsort(bucket[by_bytes], kind="stable")]
+        index = np.concatenate(self.order) if self.order else np.zeros(0, np.uint32)
+        uses = np.bincount(index, minlength=n)[order]
+        rank = np.empty(n, np.uint32)
+        rank[order[by_use(uses)]] = np.arange(n, dtype=np.uint32)
+        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        own = [b for b in range(buckets) if edge[b] < edge[b + 1]]
+        none, zip_ = [None] * len(own), zstandard.ZstdCompressor(level=LEVEL).compress
+        bodies = [zip_(_planes(rank[index])), *(_pack_words([words[i] for i in order[edge[b] : edge[b + 1]]]) for b in own)]
+        columns = [[part] * (1 + len(own)), [chunk] * (1 + len(own)), [-1, *own], [self.ids, *none], [self.counts, *none], [self.sums, *none], [zip_(_planes(uses)), *none], bodies]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CHUNK, strict=True)], schema=CHUNK)
+
+
+def chunks(docs: DataFrame, pattern: str, keys: list[int], chunk_bytes: int, buckets: int) -> DataFrame:
+    """The rows of all chunks. A task's chunks have one `part`, of `keys`; their numbers are random, so a task that runs again writes new ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, part = random.SystemRandom(), keys[TaskContext.get().partitionId() % len(keys)]
+        unit, now = re.compile(pattern, re.S), Units()
         for batch in batches:
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                units, seen = units_of(text), state["seen"]
-                state["order"].append(np.fromiter((seen.setdefault(u, len(seen)) for u in units), np.uint32, len(units)))
-                state["ids"].append(None if pd.isna(doc_id) else int(doc_id))
-                state["counts"].append(len(units))
-                state["sums"].append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63))
-                state["held"] += len(text)
-                if state["held"] > chunk_bytes:
-                    yield rows()
-                    reset()
-        if state["ids"]:
-            yield rows()
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, CHUNK)
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                now.add(doc_id.as_py(), text.as_py(), unit)
+                if now.held > chunk_bytes:
+                    yield now.rows(part, rng.getrandbits(62), buckets)
+                    now = Units()
+        if now.ids:
+            yield now.rows(part, rng.getrandbits(62), buckets)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, from_arrow_schema(CHUNK))
 
 
 def by_use(uses: np.ndarray) -> np.ndarray:
@@ -319,21 +393,13 @@ def _by_chunk(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return left.join(right, (F.col("part") == F.col("__p")) & (F.col("chunk") - F.col("__c") == 0), "left").drop("__p", "__c")
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows `which` of a ragged array, one after the other, and where each ends."""
-    n = lens[which]
-    ends = np.cumsum(n)
-    at = np.repeat(starts[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-    return flat[at], ends
-
-
 def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, ids (array<int>), round_trip (whether the ids decode to the text) for each document."""
     model = load(model_path)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = BUCKETS * tasks
     name = f"markloom_units_{uuid.uuid4().hex}"
-    chunks(docs, chunk_bytes, buckets).write.bucketBy(tasks, "part").format("parquet").option("compression", "none").saveAsTable(name)
+    chunks(docs, model.unit, bucket_keys(spark, tasks), chunk_bytes, buckets).write.bucketBy(tasks, "part").format("parquet").option("compression", "none").saveAsTable(name)
     written = spark.table(name)
     kept = written.where("bucket = -1").select("part", "chunk", "doc_ids", "counts", "sums", "uses", "body")
     # dealt once, for both uses: the plan's two exchanges are the same one
@@ -345,69 +411,100 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk_
 
     # a bucket's edges are many times its words: the buckets stay apart, whatever the words' size suggests
     words = sent.groupBy("bucket").applyInPandas(unify, "bucket int, num int, word string").repartition(buckets, "bucket")
-    edges = spans(words, piece_frame(spark, model), model.longest, ["bucket", "num"], shortest=2)
-    rank = np.unique(-model.score, return_inverse=True)[1].astype(np.int64)
-    table = spark.sparkContext.broadcast((rank, model))
+    edges = merges(words, piece_frame(spark, model), model.longest, ["bucket", "num"])
+    short = F.col("n") <= FOLD_LENGTH
+    folded = edges.select("bucket", "num", F.when(short, merge_fold("edges", "n")).otherwise(0).alias("at"), F.when(~short, F.col("edges")).alias("edges"))
 
-    def answer(edge_pdf: pd.DataFrame, sent_pdf: pd.DataFrame) -> pd.DataFrame:
-        rank, _ = table.value
+    def answer(fold_pdf: pd.DataFrame, sent_pdf: pd.DataFrame) -> pd.DataFrame:
         if not len(sent_pdf):
             return pd.DataFrame({"part": [], "chunk": [], "bucket": [], "cuts": []}).astype({"part": "int64", "chunk": "int64", "bucket": "int32"})
         blobs = [_words(b) for b in sent_pdf.body]
         words = sorted(set().union(*blobs))
-        num, edge = edge_pdf.num.to_numpy(), edge_pdf.edge.to_numpy()
-        order = np.argsort(num, kind="stable")
-        at = np.searchsorted(num[order], np.arange(len(words) + 1)).tolist()
-        keys, ranks = (edge[order] // MAX_ID).tolist(), rank[edge[order] % MAX_ID].tolist()
-        cuts = {w: merge(len(w.decode("utf-8", "surrogatepass")), dict(zip(keys[lo:hi], ranks[lo:hi], strict=True))) for w, lo, hi in zip(words, at, at[1:], strict=False)}
-        return sent_pdf[["part", "chunk", "bucket"]].assign(cuts=[_pack_cuts(b, cuts) for b in blobs])
-
-    answers = edges.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInPandas(answer, "part long, chunk long, bucket int, cuts binary")
+        place = {w: k for k, w in enumerate(words)}
+        lens = np.fromiter((len(w.decode()) for w in words), np.int64, len(words))
+        at = np.full(len(words), -1)
+        at[fold_pdf.num] = fold_pdf["at"]
+        edges = {k: e for k, e in zip(fold_pdf.num, fold_pdf.edges, strict=True) if e is not None}
+        long = {k: merge_long(int(lens[k]), edges.get(k, [])) for k in np.flatnonzero(lens > FOLD_LENGTH).tolist()}
+        cuts = []
+        for blob in blobs:
+            own = np.fromiter(map(place.__getitem__, blob), np.int64, len(blob))
+            cuts.append(_pack_cuts(lens[own], at[own], {i: long[k] for i, k in enumerate(own.tolist()) if k in long} if long else {}))
+        return sent_pdf[["part", "chunk", "bucket"]].assign(cuts=cuts)
+
+    answers = folded.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInPandas(answer, "part long, chunk long, bucket int, cuts binary")
     # dealt by the task that wrote the chunk, as its table is: they are grouped and joined where they arrive
     gathered = answers.repartition(tasks, "part").groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "cuts"))).alias("cuts"))
     own = written.where("bucket >= 0").groupBy("part", "chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias("words"))
     joined = _by_chunk(_by_chunk(kept, gathered, "cuts"), own, "words")
+    table = spark.sparkContext.broadcast(model)
 
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, model = table.value
-        surface = model.surface
-        surface_lens = np.fromiter(map(len, surface), np.int64, len(surface))
-        surface_flat = np.frombuffer(b"".join(surface), np.uint8)
-        surface_starts = np.cumsum(surface_lens) - surface_lens
-        unzip = zstandard.ZstdDecompressor().decompress
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        surface = Ragged.of(table.value.surface)
         for batch in batches:
-            for row in batch.itertuples():
-                flat, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-                for sent_, cut in zip(*((x if x is not None else []) for x in (row.words, row.cuts)), strict=True):
-                    text, begins = _characters(bytes(sent_["body"]))
-                    first = _cuts(bytes(cut["cuts"]), len(text))
-                    first[begins] = True
-                    tokens = np.flatnonzero(first)
-                    word = np.searchsorted(begins, tokens, "right") - 1
-                    ids, n = ids_of(text, tokens, word, model.pieces, model.bytes_at, model.unknown)
-                    flat.append(ids)
-                    lens.append(np.bincount(word, n, len(begins)).astype(np.int64))
-                flat, lens = np.concatenate(flat), np.concatenate(lens)
-                starts = np.cumsum(lens) - lens
-                uses, raw = unzip(row.uses), unzip(row.body)
-                index = by_use(_from_planes(uses, 0, len(uses) // 4).astype(np.int64))[_from_planes(raw, 0, len(raw) // 4)]
-                # some documents at once: ids by unit, then bytes by id, then cut at the documents' ends
-                units = np.concatenate([[0], np.cumsum(np.asarray(row.counts, np.int64))])
-                first = 0
-                while first < len(row.counts):
-                    after = max(first + 1, int(np.searchsorted(units, units[first] + GROUP_UNITS, "right")) - 1)
-                    ids, unit_ends = gather(flat, starts, lens, index[units[first] : units[after]])
-                    text, id_ends = gather(surface_flat, surface_starts, surface_lens, ids)
-                    last = np.concatenate([[0], unit_ends])[units[first : after + 1] - units[first]]
-                    ends = np.concatenate([[0], id_ends])[last].tolist()
-                    last, raw, ids, out = last.tolist(), text.tobytes(), ids.astype(np.int32), []
-                    for k in range(after - first):
-                        same = xxhash.xxh64_intdigest(raw[ends[k] + 1 : ends[k + 1]]) - (1 << 63) == row.sums[first + k]
-                        out.append((row.doc_ids[first + k], ids[last[k] : last[k + 1]], same))
-                    yield pd.DataFrame(out, columns=["doc_id", "ids", "round_trip"]).astype({"doc_id": "Int64"})
-                    first = after
-
-    return joined.mapInPandas(assemble, "doc_id long, ids array<int>, round_trip boolean")
+            for row in range(batch.num_rows):
+                yield from _documents({c: batch.column(c)[row] for c in batch.schema.names}, table.value, surface)
+
+    return joined.mapInArrow(assemble, from_arrow_schema(ENCODED))
+
+
+@dataclass
+class Ragged:
+    """Arrays one after the other."""
+
+    flat: np.ndarray
+    starts: np.ndarray
+    lens: np.ndarray
+
+    @staticmethod
+    def of(values: list[bytes]) -> Ragged:
+        lens = np.fromiter(map(len, values), np.int64, len(values))
+        return Ragged(np.frombuffer(b"".join(values), np.uint8), np.cumsum(lens) - lens, lens)
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows `which`, one after the other, and where each ends."""
+        n = self.lens[which]
+        ends = np.cumsum(n)
+        at = np.repeat(self.starts[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat[at], ends
+
+
+def _unit_ids(words, cuts, model: Model) -> Ragged:
+    """The ids of a chunk's units, in order of bucket and bytes."""
+    flat, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for sent, cut in zip(words or [], cuts or [], strict=True):
+        text, begins = _characters(sent["body"])
+        first = _cuts(cut["cuts"], len(text))
+        first[begins] = True
+        tokens = np.flatnonzero(first)
+        word = np.searchsorted(begins, tokens, "right") - 1
+        ids, n = ids_of(text, tokens, word, model.pieces, model.bytes_at, model.unknown)
+        flat.append(ids)
+        lens.append(np.bincount(word, n, len(begins)).astype(np.int64))
+    flat, lens = np.concatenate(flat), np.concatenate(lens)
+    return Ragged(flat, np.cumsum(lens) - lens, lens)
+
+
+def _documents(row: dict, model: Model, surface: Ragged) -> Iterator[pa.RecordBatch]:
+    """A chunk's documents, some at once: ids by unit, then bytes by id, then cut at the documents' ends."""
+    unzip = zstandard.ZstdDecompressor().decompress
+    ids_by_unit = _unit_ids(row["words"].as_py(), row["cuts"].as_py(), model)
+    uses, raw = unzip(row["uses"].as_py()), unzip(row["body"].as_py())
+    index = by_use(_from_planes(uses, 0, len(uses) // 4).astype(np.int64)).astype(np.uint32)[_from_planes(raw, 0, len(raw) // 4)]
+    doc_ids, sums = row["doc_ids"].values, row["sums"].values.to_numpy()
+    units = np.concatenate([[0], np.cumsum(row["counts"].values.to_numpy(), dtype=np.int64)])
+    first, n_docs = 0, len(doc_ids)
+    while first < n_docs:
+        after = max(first + 1, int(np.searchsorted(units, units[first] + GROUP_UNITS, "right")) - 1)
+        ids, unit_ends = ids_by_unit.gather(index[units[first] : units[after]])
+        text, id_ends = surface.gather(ids)
+        last = np.concatenate([[0], unit_ends])[units[first : after + 1] - units[first]]
+        ends = np.concatenate([[0], id_ends])[last].tolist()
+        view = memoryview(np.ascontiguousarray(text))
+        same = [xxhash.xxh64_intdigest(view[a + 1 : b]) - (1 << 63) == s for a, b, s in zip(ends, ends[1:], sums[first:after].tolist(), strict=False)]
+        lists = pa.ListArray.from_arrays(pa.array(last, pa.int32()), pa.array(ids.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([doc_ids[first:after], lists, pa.array(same, pa.bool_())], schema=ENCODED)
+        first = after
 
 
 def decode_ids(ids, surface: list[bytes]) -> str:
