@@ -21,10 +21,21 @@ from ..functions.batches import batched
 from ..functions.pycode import called, parsed
 from ..plans.spec import SPEC_KEYS, canonical, canonical_text, is_supported, parse_spec
 
+#: Values that one evaluated expression may have; a script that makes more has no spec. A bound of memory, so a parameter.
 MOST_VALUES = 1_000_000
 #: Calls that draw, and those that subplots are read from.
-DRAWING = frozenset("plot scatter bar barh hist imshow pcolormesh boxplot fill_between heatmap stem errorbar pie step stairs stackplot matshow semilogx semilogy loglog".split())
-PANEL_DRAWING = frozenset("plot scatter bar barh hist imshow pcolormesh boxplot fill_between stem errorbar pie step".split())
+DRAWING = frozenset(
+    (
+        "plot", "scatter", "bar", "barh", "hist", "imshow", "pcolormesh", "boxplot", "fill_between", "heatmap", "stem",
+        "errorbar", "pie", "step", "stairs", "stackplot", "matshow", "semilogx", "semilogy", "loglog",
+    )
+)
+PANEL_DRAWING = frozenset(
+    (
+        "plot", "scatter", "bar", "barh", "hist", "imshow", "pcolormesh", "boxplot", "fill_between", "stem", "errorbar",
+        "pie", "step",
+    )
+)
 CONSTANTS = {"pi": np.pi, "e": np.e, "inf": np.inf, "nan": np.nan}
 Env = dict[str, Any]
 
@@ -467,11 +478,14 @@ class Charts:
         return next((s for s in map(self.one, calls) if s is not None), None)
 
 
-def panel_of(node: ast.AST) -> int | None:
-    if isinstance(node, ast.Subscript) and isinstance(node.value, ast.Name) and node.value.id in ("axs", "axes", "ax") and isinstance(node.slice, ast.Constant) and isinstance(node.slice.value, int):
-        return node.slice.value
-    found = re.fullmatch(r"ax(\d+)", node.id) if isinstance(node, ast.Name) else None
-    return int(found[1]) if found else None
+def panel_of(axes: ast.AST) -> int | None:
+    """The number in axs[2], axes[2], ax[2] or ax2."""
+    match axes:
+        case ast.Subscript(value=ast.Name(id="axs" | "axes" | "ax"), slice=ast.Constant(value=int(number))):
+            return number
+        case ast.Name(id=name) if name.startswith("ax") and name[2:].isdecimal():
+            return int(name[2:])
+    return None
 
 
 def panels(tree: ast.AST, grid: tuple[int, int], charts: Charts) -> dict | None:
