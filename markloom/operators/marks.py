@@ -22,7 +22,53 @@ def aggregate(name: str, value: str | None) -> Column:
     if name == "count" or value is None:
         return F.count(F.lit(1))
     x = field(value)
-    return {"mean": F.avg(x), "sum": F.coalesce(F.sum(x), F.lit(0)), "median": F.median(x), "min": F.min(x), "max": F.max(x)}[name]
+    return {"mean": F.avg(x), "sum": F.coalesce(F.sum(x), F.lit(0)), "min": F.min(x), "max": F.max(x)}[name]
+
+
+#: Cells of the histogram that ranks are found in, for each factor of e in the values.
+CELLS = 4096
+#: A join on a group's key meets the group in so many parts.
+SALTS = 32
+
+
+def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, cell, v, m: each distinct value of a group with its number of rows. Cells are in order of the values."""
+    v = F.col(value).cast("double")
+    cell = F.floor(F.least(F.log1p(F.abs(v)), F.lit(1e4)) * CELLS * F.signum(v)).cast("long")
+    return rows.where(F.col(value).isNotNull()).select(*keys, cell.alias("cell"), v.alias("v")).groupBy(*keys, "cell", "v").agg(F.count(F.lit(1)).alias("m"))
+
+
+def quantiles(counts: DataFrame, keys: list[str], fractions: list[float]) -> DataFrame:
+    """keys, n and q: exact quantiles with linear interpolation, from value_counts().
+
+    The ranks are found in the counts of cells, and only the values of the cells that hold one are ranked, each cell by
+    itself. So no task sees a group's values; it sees its cells, whose number goes with the logarithm of their range.
+    """
+    cells = counts.groupBy(*keys, "cell").agg(F.sum("m").alias("c"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto, n = F.sum("c").over(group.orderBy("cell")), F.sum("c").over(group)
+    at = [side((F.col("n") - 1) * fraction) for fraction in fractions for side in (F.floor, F.ceil)]
+    placed = cells.select(*keys, "cell", (upto - F.col("c")).alias("before"), upto.alias("upto"), n.alias("n"))
+    holds = F.exists(F.array(*at), lambda r: (r >= F.col("before")) & (r < F.col("upto")))
+    wanted = placed.where(holds).select(*keys, "cell", "before", "n")
+    within = Window.partitionBy(*keys, "cell").orderBy("v")
+    inside = counts.join(wanted, [*keys, "cell"]).withColumn("stop", F.col("before") + F.sum("m").over(within))
+    found = [F.min(F.when((r >= F.col("stop") - F.col("m")) & (r < F.col("stop")), F.col("v"))).alias(f"r{i}") for i, r in enumerate(at)]
+    picked = inside.groupBy(*keys, "n").agg(*found)
+    between = []
+    for k, fraction in enumerate(fractions):
+        low, high = F.col(f"r{2 * k}"), F.col(f"r{2 * k + 1}")
+        share = (F.col("n") - 1) * fraction - F.floor((F.col("n") - 1) * fraction)
+        between.append(F.when(low == high, low).otherwise((1 - share) * low + share * high))
+    return picked.select(*keys, "n", F.array(*between).alias("q"))
+
+
+def medians(rows: DataFrame, keys: list[Column], value: str) -> DataFrame:
+    """The key columns with the median as y; null for a group that has no values."""
+    named = rows.select(*keys, field(value).alias("__v"))
+    names = [c for c in named.columns if c != "__v"]
+    middle = quantiles(value_counts(named, names, "__v"), names, [0.5]).select(*names, F.col("q")[0].alias("y"))
+    return named.select(*names).distinct().join(middle, names, "left")
 
 
 def histogram(rows: DataFrame, by: list[str], x: Channel) -> DataFrame:
@@ -43,7 +89,10 @@ def histogram(rows: DataFrame, by: list[str], x: Channel) -> DataFrame:
 
 def aggregated_bar(rows: DataFrame, by: list[str], key: str, name: str, value: str | None) -> DataFrame:
     """R11."""
-    return rows.where(field(key).isNotNull()).groupBy(*by, field(key).alias("x")).agg(aggregate(name, value).alias("y"))
+    rows = rows.where(field(key).isNotNull())
+    if name == "median" and value is not None:
+        return medians(rows, [*map(F.col, by), field(key).alias("x")], value)
+    return rows.groupBy(*by, field(key).alias("x")).agg(aggregate(name, value).alias("y"))
 
 
 def _grid(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -55,7 +104,9 @@ def _grid(cells: DataFrame, by: list[str]) -> DataFrame:
 def grouped_bar(rows: DataFrame, by: list[str], key: str, color: str, name: str, value: str | None) -> DataFrame:
     """Pairs that don't occur are 0; a null aggregate of a pair that does stays null."""
     keyed = rows.where(field(key).isNotNull() & field(color).isNotNull())
-    cells = keyed.groupBy(*by, field(key).alias("x"), field(color).alias("series")).agg(aggregate(name, value).alias("y"), F.lit(True).alias("__there"))
+    keys = [*map(F.col, by), field(key).alias("x"), field(color).alias("series")]
+    cells = medians(keyed, keys, value) if name == "median" and value is not None else keyed.groupBy(*keys).agg(aggregate(name, value).alias("y"))
+    cells = cells.withColumn("__there", F.lit(True))
     return _grid(cells, by).join(cells, [*by, "x", "series"], "left").select(*by, "x", "series", F.when(F.col("__there"), F.col("y")).otherwise(F.lit(0)).alias("y"))
 
 
@@ -104,10 +155,11 @@ def scatter(rows: DataFrame, by: list[str], ch: dict[str, Channel]) -> DataFrame
     return done.where("series is not null") if color else done
 
 
-def raw(rows: DataFrame, by: list[str], ch: dict[str, Channel], extra: dict[str, Column] | None = None) -> DataFrame:
-    """A mark for each row."""
+def raw(rows: DataFrame, by: list[str], ch: dict[str, Channel], extra: dict[str, Column] | None = None, order: Column | None = None) -> DataFrame:
+    """A mark for each row. `ordinal` is the rows' order, in which a line goes from one to the next."""
     color = ch.get("color", NONE).field
-    done = rows.select(*by, field(ch["x"].field).alias("x"), (field(ch["y"].field) if ch.get("y", NONE).field else F.lit(0)).alias("y"), (field(color) if color else F.lit(None).cast("string")).alias("series"), *(c.alias(k) for k, c in (extra or {}).items()))
+    order = F.monotonically_increasing_id() if order is None else order
+    done = rows.select(*by, field(ch["x"].field).alias("x"), (field(ch["y"].field) if ch.get("y", NONE).field else F.lit(0)).alias("y"), (field(color) if color else F.lit(None).cast("string")).alias("series"), order.alias("ordinal"), *(c.alias(k) for k, c in (extra or {}).items()))
     return done.where("series is not null") if color else done
 
 
@@ -117,15 +169,25 @@ def heatmap(rows: DataFrame, by: list[str], ch: dict[str, Channel]) -> DataFrame
     return cells.select(*by, "x", "y", F.when(F.col("__n") == 1, F.col("value")).otherwise(F.raise_error(F.lit("a heatmap cell has several rows"))).alias("value"))
 
 
-def boxplot(rows: DataFrame, by: list[str], ch: dict[str, Channel]) -> DataFrame:
-    """Linear quartiles, whiskers at the last points within 1.5 times the box, and the number of points beyond."""
+def boxplot(rows: DataFrame, by: list[str], ch: dict[str, Channel], order: Column | None = None) -> DataFrame:
+    """Linear quartiles, whiskers at the last points within 1.5 times the box, and the number of points beyond.
+
+    `first` is the order of the group's first row, in which the boxes stand. The boxes meet their values in SALTS parts,
+    so that no task has all of a group.
+    """
     group = ch.get("x", NONE).field
-    keyed = rows.select(*by, (field(group) if group else F.lit("all")).alias("x"), field(ch["y"].field).cast("double").alias("y")).where("x is not null and y is not null")
-    boxes = keyed.groupBy(*by, "x").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
-    boxes = boxes.select(*by, "x", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    order = F.monotonically_increasing_id() if order is None else order
+    keyed = rows.select(*by, (field(group) if group else F.lit("all")).alias("x"), field(ch["y"].field).cast("double").alias("y"), order.alias("__o")).where("x is not null")
+    keys = [*by, "x"]
+    counts = value_counts(keyed, keys, "y")
+    boxes = quantiles(counts, keys, [0.25, 0.5, 0.75])
+    boxes = boxes.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = F.col("q3") - F.col("q1")
-    within = F.when(F.col("y").between(F.col("q1") - 1.5 * reach, F.col("q3") + 1.5 * reach), F.col("y"))
-    return keyed.join(boxes, [*by, "x"]).groupBy(*by, "x", "n", "q1", "median", "q3").agg(F.min(within).alias("low"), F.max(within).alias("high"), (F.count(F.lit(1)) - F.count(within)).alias("n_outliers"))
+    inside = F.col("v").between(F.col("q1") - 1.5 * reach, F.col("q3") + 1.5 * reach)
+    parted = counts.withColumn("__s", F.pmod(F.col("cell"), F.lit(SALTS)))
+    met = parted.join(boxes.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "__s"])
+    done = met.groupBy(*keys, "n", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.coalesce(F.sum(F.when(~inside, F.col("m"))), F.lit(0)).alias("n_outliers"))
+    return done.join(keyed.groupBy(*keys).agg(F.min("__o").alias("first")), keys)
 
 
 def outliers(rows: DataFrame, boxes: DataFrame, key: str, value: str) -> DataFrame:
@@ -162,30 +224,38 @@ def bar(rows: DataFrame, by: list[str], unit: Unit, order: Column) -> DataFrame:
         out = grouped_bar(rows, by, key.field, color, value.aggregate, value.field) if color else aggregated_bar(rows, by, key.field, value.aggregate, value.field)
         return out if way == "vertical" else out.select(*(F.col(c).alias({"x": "y", "y": "x"}.get(c, c)) for c in out.columns))
     _need(unit, "x", "y")
-    return raw_grouped_bar(rows, by, x.field, color, y.field, order) if color else raw(rows, by, unit.channels)
+    return raw_grouped_bar(rows, by, x.field, color, y.field, order) if color else raw(rows, by, unit.channels, order=order)
 
 
 def _fielded(*needed: str):
     def over(make: Callable) -> Callable:
         def run(rows: DataFrame, by: list[str], unit: Unit, order: Column) -> DataFrame:
             _need(unit, *needed)
-            return make(rows, by, unit.channels)
+            return make(rows, by, unit.channels, order)
 
         return run
 
     return over
 
 
+def _any_order(make: Callable) -> Callable:
+    return lambda rows, by, ch, order: make(rows, by, ch)
+
+
+def _in_order(rows: DataFrame, by: list[str], ch: dict[str, Channel], order: Column) -> DataFrame:
+    return raw(rows, by, ch, order=order)
+
+
 MARKS: dict[str, Callable] = {
     "bar": bar,
-    "point": _fielded("x", "y")(scatter),
-    "circle": _fielded("x", "y")(scatter),
-    "line": _fielded("x", "y")(raw),
-    "area": _fielded("x", "y")(lambda rows, by, ch: raw(rows, by, ch, {"baseline": F.lit(0)})),
-    "tick": _fielded("x")(raw),
-    "rect": _fielded("x", "y", "color")(heatmap),
+    "point": _fielded("x", "y")(_any_order(scatter)),
+    "circle": _fielded("x", "y")(_any_order(scatter)),
+    "line": _fielded("x", "y")(_in_order),
+    "area": _fielded("x", "y")(lambda rows, by, ch, order: raw(rows, by, ch, {"baseline": F.lit(0)}, order)),
+    "tick": _fielded("x")(_in_order),
+    "rect": _fielded("x", "y", "color")(_any_order(heatmap)),
     "boxplot": _fielded("y")(boxplot),
-    "arc": _fielded("theta")(pie),
+    "arc": _fielded("theta")(_any_order(pie)),
 }
 
 

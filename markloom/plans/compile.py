@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.marks import draw
 from ..sources import relations
 from .filters import field as column
-from .filters import predicate
+from .filters import fields_of, negates, predicate
 from .spec import Concat, Facet, Layer, Plan, SpecError, Unit, plan
 
 
@@ -34,12 +34,14 @@ class Compiler:
         """The unit's source after its filters. Equal sources are one DataFrame, so that layers share a scan.
 
         Filters come twice where floats may hold NaN: on the columns as they are, which the scan takes up and which
-        lets through all rows that pass, and on the columns with null for NaN, which says what passes.
+        lets through all rows that pass, and on the columns with null for NaN, which says what passes. With a negation
+        they come on the latter alone, as NaN exceeds all numbers where null doesn't.
         """
-        key = (unit.source.name, unit.source.url, id(unit.source.values) if unit.source.values else None)
+        source = unit.source
+        key = (source.name, source.url, id(source.values)) if source.values or source.name or source.url else id(unit)
         if key not in self._read:
-            self._read[key] = (relations.resolve(self.spark, unit.source, self.sources, self.datasets), unit.source)
-        rows, tests = self._read[key][0], []
+            self._read[key] = (relations.resolve(self.spark, unit.source, self.sources, self.datasets, _fields(unit)), unit.source)
+        rows, tests, early = self._read[key][0], [], True
         for step in unit.transforms:
             test = predicate(step["filter"]) if isinstance(step, dict) and "filter" in step else None
             if test is None:
@@ -47,10 +49,14 @@ class Compiler:
                     raise SpecError(f"transform {step!r} isn't supported")
                 warnings.warn(f"transform {step!r} is passed over", stacklevel=2)
                 continue
-            rows = rows.where(test)
+            early = early and not negates(step["filter"])
             tests.append(test)
+        floats = relations.without_nan(rows) is not rows
+        if early or not floats:
+            for test in tests:
+                rows = rows.where(test)
         clean = relations.without_nan(rows)
-        if clean is not rows:
+        if floats:
             for test in tests:
                 clean = clean.where(test)
         return clean
@@ -59,16 +65,40 @@ class Compiler:
         return column(self.order_by) if self.order_by else F.monotonically_increasing_id()
 
     def compile(self, node) -> DataFrame:
+        if isinstance(node, SpecError):
+            raise node
         if isinstance(node, Concat):
-            return _stack([self.compile(c).withColumn("panel", F.lit(i)) for i, c in enumerate(node.children)])
+            return self.concat(node)
         if isinstance(node, Layer):
             return _stack([draw(self.rows(u), [], u, self.order()).withColumn("layer", F.lit(i)) for i, u in enumerate(node.children)])
         if isinstance(node, Facet):
-            rows = self.rows(node.child).withColumn("panel", column(node.field))
+            rows = self.rows(node.child)
+            rows = rows.withColumn("panel", column(node.field) if node.field in rows.columns else F.lit(None).cast("string"))
             return draw(rows.where("panel is not null"), ["panel"], node.child, self.order())
         return draw(self.rows(node), [], node, self.order())
 
 
+    def concat(self, node: Concat) -> DataFrame:
+        """The panels by their number. One that can't be drawn is left out with a warning, or an error if strict."""
+        parts = []
+        for number, child in enumerate(node.children):
+            try:
+                parts.append(self.compile(child).withColumn("panel", F.lit(number)))
+            except SpecError as wrong:
+                if self.strict:
+                    raise
+                warnings.warn(f"panel {number} is left out: {wrong}", stacklevel=2)
+        if not parts:
+            raise SpecError("no panel can be drawn")
+        return _stack(parts)
+
+
+def _fields(unit: Unit) -> list[str]:
+    """The fields that a unit reads, which a relation without rows has too."""
+    tests = [t["filter"] for t in unit.transforms if isinstance(t, dict) and "filter" in t]
+    return sorted({c.field for c in unit.channels.values() if c.field} | {f for t in tests for f in fields_of(t)})
+
+
 def _stack(parts: list[DataFrame]) -> DataFrame:
     """Union by name; columns of the same name and another type meet as strings."""
     kinds: dict[str, set] = {}
@@ -86,6 +116,8 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
 
 def axes(node) -> dict[str, Any]:
     """Labels, scales, limits and title; a layer takes those of its first child, a concatenation has a list."""
+    if isinstance(node, SpecError):
+        return {"error": str(node)}
     if isinstance(node, Concat):
         return {"grid": (node.rows, node.columns), "panels": [axes(c) for c in node.children]}
     if isinstance(node, Layer):

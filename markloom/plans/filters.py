@@ -111,17 +111,23 @@ def field(name: str) -> Column:
 
 
 class Columns:
-    """What a filter means for Spark."""
+    """What a filter means for Spark.
+
+    A missing value passes no comparison but an inequality, and negation has two values: what doesn't hold is negated
+    to true, also where something is missing.
+    """
 
     literal = staticmethod(F.lit)
     field = staticmethod(field)
     either = staticmethod(Column.__or__)
     both = staticmethod(Column.__and__)
-    negated = staticmethod(Column.__invert__)
+    negated = staticmethod(lambda test: ~F.coalesce(test, F.lit(False)))
 
     @staticmethod
     def compared(op: str, a: Column, b: Column) -> Column:
-        return {"==": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+        if op == "!=":
+            return (a != b) | a.isNull() | b.isNull()
+        return {"==": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
     @staticmethod
     def computed(op: str, a: Column, b: Column) -> Column:
@@ -145,6 +151,25 @@ def string_filter(text: str, on=Columns):
     return _Parser(text, on).parse()
 
 
+def fields_of(spec: Any) -> set[str]:
+    """The fields that a filter reads."""
+    found: set[str] = set()
+
+    class Names(Source):
+        field = staticmethod(lambda name: found.add(name) or name)
+
+    if isinstance(spec, str):
+        string_filter(spec, Names)
+    elif isinstance(spec, dict) and isinstance(spec.get("field"), str):
+        found.add(spec["field"])
+    return found
+
+
+def negates(spec: Any) -> bool:
+    """Whether a filter negates anything, so that it may pass rows for which a part of it is unknown."""
+    return isinstance(spec, str) and any(kind != "str" and text in ("!", "not") for kind, text in _Parser(spec, Columns).tokens)
+
+
 def object_filter(spec: dict) -> Column | None:
     """All conditions of the object together; None if it has none."""
     if "field" not in spec:

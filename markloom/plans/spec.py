@@ -30,25 +30,31 @@ def is_chart_like(spec: Any) -> bool:
     return (has("mark") and (has("encoding") or has("data"))) or any(map(has, COMPOSED)) or (has("$schema") and (has("mark") or has("encoding")))
 
 
+def _attempt(read, text: str):
+    """What `text` is read as, in a list, or an empty one: a failure only means that this isn't the notation."""
+    try:
+        return [read(text)]
+    except Exception:  # noqa: BLE001
+        return []
+
+
 def _readings(text: str):
-    """Every value that some part of the text may be read as, the most literal reading first."""
-    for read in (json.loads, ast.literal_eval):
-        try:
-            yield read(text)
-        except Exception:  # noqa: BLE001  any failure only means that this isn't the notation
-            continue
+    """Every value that some part of the text may be read as: all of it, then from each bracket on, as JSON with anything behind it or as a literal up to the end."""
+    yield from _attempt(json.loads, text)
+    yield from _attempt(ast.literal_eval, text.strip())
     decoder = json.JSONDecoder()
     for opening in re.finditer(r"[{\[]", text):
-        try:
-            yield decoder.raw_decode(text, opening.start())[0]
-        except ValueError:
-            continue
+        tail = text[opening.start() :]
+        yield from _attempt(lambda t: decoder.raw_decode(t)[0], tail) or _attempt(ast.literal_eval, tail)
 
 
 def parse_spec(value: Any, depth: int = 0) -> dict | None:
-    """V1: the first chart-like object in a value, which may be a dict, JSON, a literal, fenced text or prose with JSON."""
+    """V1: the first chart-like object in a value, which may be a dict, JSON, a literal, fenced text or prose with either.
+
+    An object that isn't one itself may have it as its `spec`, one level down. Text in JSON strings is read in turn.
+    """
     if isinstance(value, dict):
-        return value if is_chart_like(value) else parse_spec(value["spec"], depth + 1) if isinstance(value.get("spec"), dict) and depth < 4 else None
+        return next((x for x in (value, value.get("spec")) if is_chart_like(x)), None)
     if not isinstance(value, str) or not value.strip() or depth > 4:
         return None
     for text in (*(m.strip() for m in FENCE.findall(value)), value.strip()):
@@ -193,7 +199,7 @@ class Facet:
 
 @dataclass
 class Concat:
-    children: list
+    children: list  # a SpecError in place of a child that has no plan
     rows: int
     columns: int
 
@@ -228,11 +234,11 @@ def _unit(spec: dict, inherited: Source) -> Unit:
 
 
 def build(spec: dict, inherited: Source = Source()) -> Unit | Layer | Facet | Concat:
-    """The plan of a spec. Layers inherit the data alone; children of a concatenation are independent."""
+    """The plan of a spec. Layers inherit the data alone; children of a concatenation inherit nothing."""
     for key in CONTAINERS:
         children = spec.get(key)
         if isinstance(children, list) and len(children) >= 2:
-            plans = [build({"data": spec["data"], **c} if "data" in spec else c, inherited) for c in children]
+            plans = [_child(c) for c in children]
             return Concat(plans, *((1, len(plans)) if key == "hconcat" else (len(plans), 1)))
     source = _source(spec, inherited)
     across = {d: channel(spec, d).get("field") for d in ("column", "row")}
@@ -248,6 +254,15 @@ def build(spec: dict, inherited: Source = Source()) -> Unit | Layer | Facet | Co
     return _unit(spec, source)
 
 
+def _child(spec: Any) -> Unit | Layer | Facet | Concat | SpecError:
+    try:
+        return build(spec)
+    except SpecError as wrong:
+        return wrong
+    except (AttributeError, TypeError) as wrong:
+        return SpecError(f"a panel that isn't a chart: {wrong}")
+
+
 def plan(spec: Any) -> Plan:
     found = parse_spec(spec)
     if found is None:

@@ -30,6 +30,56 @@ def test_parse_gives_none(text):
     assert S.parse_spec(text) is None
 
 
+def test_parse_reads_a_literal_behind_prose():
+    assert S.parse_spec("Here is the spec: {'mark': 'bar', 'encoding': {}}") == {"mark": "bar", "encoding": {}}
+    # an object inside another one counts one level down, not deeper
+    assert S.parse_spec({"spec": {"spec": {"mark": "bar", "encoding": {}}}}) is None
+
+
+def test_inequality_and_negation_keep_rows_with_nulls(spark):
+    rows = [{"v": 1.0, "w": "a"}, {"v": None, "w": "b"}, {"v": 3.0, "w": None}, {"v": float("nan"), "w": "c"}]
+    for text, kept in (("datum.v != 3", 3), ("datum.v == 3", 1), ("!(datum.v > 2)", 3), ("datum.w != 'a'", 3), ("!(datum.w == 'a') && datum.v > 2", 1), ("!(datum.v != 3)", 1)):
+        spec = {"data": {"values": rows}, "transform": [{"filter": text}], "mark": "tick", "encoding": {"x": {"field": "v"}}}
+        assert compile_spec(spark, spec).df.count() == kept, text
+
+
+def test_concat_children_are_independent(spark):
+    child = {"mark": "tick", "encoding": {"x": {"field": "v"}}}
+    own = {**child, "data": {"values": [{"v": 1}, {"v": 2}]}}
+    spec = {"data": {"values": ROWS}, "hconcat": [child, own, {"mark": "nonsense", "encoding": {}, "data": {"values": ROWS}}, "no chart"]}
+    with pytest.warns(UserWarning):
+        chart = compile_spec(spark, spec)
+    assert sorted(r.panel for r in chart.df.collect()) == [1, 1] and "error" in chart.meta["panels"][3]
+    with pytest.raises(S.SpecError):
+        compile_spec(spark, spec, strict=True)
+
+
+def test_lines_keep_the_order_of_rows(spark):
+    rows = [{"x": k % 7, "y": k, "c": "ab"[k % 2]} for k in range(40)]
+    spec = {"data": {"values": rows}, "mark": "line", "encoding": {"x": {"field": "x"}, "y": {"field": "y"}, "color": {"field": "c"}}}
+    for more in ({}, {"order_by": "y"}):
+        got = compile_spec(spark, spec, **more).df.orderBy("ordinal").collect()
+        assert [r.y for r in got] == list(range(40))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quantiles_are_exact(spark, seed):
+    import numpy as np
+
+    from markloom.operators import marks
+
+    rng = np.random.default_rng(seed)
+    groups = {"a": rng.normal(size=101) * 10.0 ** rng.integers(-5, 6), "b": rng.integers(0, 3, 50).astype(float), "c": np.array([7.0]), "d": np.array([1e-9, -1e300, 1e300, -0.0]), "e": np.full(9, -2.5)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("f", None)], "k string, v double")
+    fractions = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: (r.n, list(r.q)) for r in marks.quantiles(marks.value_counts(df, ["k"], "v"), ["k"], fractions).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k][0] == len(vs) and got[k][1] == pytest.approx(np.quantile(vs, fractions).tolist(), rel=1e-12)
+    middle = {r.k: r.y for r in marks.medians(df, [df.k], "v").collect()}
+    assert middle["f"] is None and middle["b"] == np.median(groups["b"])
+
+
 def test_canonical_and_flatten():
     spec = {"mark": "bar", "b": [{"y": 1, "x": None}], "a": {}}
     assert S.canonical(S.canonical(spec)) == S.canonical(spec)
@@ -118,7 +168,7 @@ def test_axes_are_metadata_and_do_not_filter(spark):
     assert made.meta["x"] == {"label": "a b", "log": True, "domain": (2, 4)}
 
 
-@pytest.mark.parametrize("text,n", [("datum.v > 1 && datum.v < 6", 2), ("datum.v == 1 || datum.v == 5", 2), ("!(datum['v'] > 1)", 1), ("datum.v * 2 + 1 >= 7", 3), ("datum.k == 'a'", 2)])
+@pytest.mark.parametrize("text,n", [("datum.v > 1 && datum.v < 6", 2), ("datum.v == 1 || datum.v == 5", 2), ("!(datum['v'] > 1)", 2), ("datum.v * 2 + 1 >= 7", 3), ("datum.k == 'a'", 2)])
 def test_filter_grammar(spark, text, n):
     spec = {**unit("tick", x="v"), "transform": [{"filter": text}]}
     assert compile_spec(spark, spec).df.count() == n
