@@ -43,8 +43,11 @@ def generated_code(text: Column, task: Column) -> Column:
 MESSAGES = "array<struct<role:string,content:array<struct<type:string,text:string,image:string>>>>"
 
 
-def conversations(samples: DataFrame, instructions: dict[str, str]) -> DataFrame:
-    """Samples (image, code, vega_spec) with messages, instruction, target_text; rows without a target or image go. Row order is any `ord` column's."""
+def conversations(samples: DataFrame, instructions: dict[str, str], order_by: str | None = None) -> DataFrame:
+    """Samples (image, code, vega_spec) with messages, instruction, target_text; rows without a target or image go.
+
+    `ordinal` is the rows' order: that of a column, or else that of the rows as they are read.
+    """
     spec = parse_spec_udf("vega_spec")
     target = F.coalesce(spec, F.col("code"))
     instruction = F.when(spec.isNotNull(), instructions[SPEC_TASK]).otherwise(instructions[CODE_TASK])
@@ -53,7 +56,8 @@ def conversations(samples: DataFrame, instructions: dict[str, str]) -> DataFrame
     part = lambda kind, text, image: F.struct(F.lit(kind).alias("type"), text.alias("text"), image.alias("image"))
     user = F.struct(F.lit("user").alias("role"), F.array(part("image", none, F.col("image")), part("text", F.col("instruction"), none)).alias("content"))
     assistant = F.struct(F.lit("assistant").alias("role"), F.array(part("text", F.col("target_text"), none)).alias("content"))
-    return with_target.withColumn("messages", F.array(user, assistant)).withColumn("image_path", F.col("image"))
+    ordinal = F.col(order_by) if order_by else F.monotonically_increasing_id()
+    return with_target.withColumns({"messages": F.array(user, assistant), "image_path": F.col("image"), "ordinal": ordinal})
 
 
 def first_of(messages: Column, kind: str, role: str = "user") -> Column:
@@ -62,29 +66,31 @@ def first_of(messages: Column, kind: str, role: str = "user") -> Column:
     return F.get(F.filter(parts, lambda p: p["type"] == kind), F.lit(0))[kind]
 
 
-def with_drop_reason(df: DataFrame, spec_instruction: str, most_code: int = MOST_CODE, most_tokens: int | None = None, count_tokens: Callable[[str], int] | None = None, spec_exempt: bool = True) -> DataFrame:
-    """Df (messages, instruction, target_text, vega_spec) with drop_reason, null for rows to keep.
+def with_drop_reason(df: DataFrame, spec_instruction: str, most_code: int = MOST_CODE, most_tokens: int | None = None, count_tokens: Callable[[list[str]], list[int]] | None = None, spec_exempt: bool = True) -> DataFrame:
+    """Df (messages, instruction, vega_spec) with drop_reason, null for rows to keep.
 
-    `count_tokens` counts one text; a row on which it fails is kept.
+    The target is the text of the second message's first part. `count_tokens` counts some texts at once, each the
+    instruction and the target; texts on which it fails are counted one by one, and a row on which that fails is kept.
     """
     is_spec = parse_spec_udf("vega_spec").isNotNull() | (F.col("instruction") == spec_instruction)
-    last = F.try_element_at("messages", F.lit(-1))
-    empty = (F.coalesce(F.size("messages"), F.lit(0)) < 2) | (F.coalesce(F.size(last["content"]), F.lit(0)) < 1)
-    long = F.length("target_text") > most_code
-    reason = F.when(empty, "empty").when((long & ~is_spec) if spec_exempt else long, "code length")
+    answer = F.try_element_at("messages", F.lit(2))["content"]
+    target = F.coalesce(F.try_element_at(answer, F.lit(1))["text"], F.lit(""))
+    empty = (F.coalesce(F.size("messages"), F.lit(0)) < 2) | (F.coalesce(F.size(answer), F.lit(0)) < 1)
+    long = F.length(target) > most_code
+    reason = F.when(empty, "empty").when((long & ~F.coalesce(is_spec, F.lit(False))) if spec_exempt else long, "code length")
     if most_tokens is not None and count_tokens is not None:
 
-        @F.pandas_udf("long")
-        def tokens(text: pd.Series) -> pd.Series:
-            def one(t: str | None) -> int:
-                try:
-                    return count_tokens(t or "")
-                except Exception:  # noqa: BLE001  the tokenizer is the caller's
-                    return 0
+        def counted(texts: list[str]) -> list[int]:
+            try:
+                return list(count_tokens(texts))
+            except Exception:  # noqa: BLE001  the tokenizer is the caller's
+                return [0] if len(texts) == 1 else [counted([t])[0] for t in texts]
 
-            return text.map(one)
+        @F.pandas_udf("long")
+        def tokens(texts: pd.Series) -> pd.Series:
+            return pd.Series(counted(texts.fillna("").tolist()), dtype="int64")
 
-        reason = reason.when(tokens(F.concat_ws("\n", "instruction", "target_text")) > most_tokens, "tokens")
+        reason = reason.when(tokens(F.concat_ws("\n", "instruction", target)) > most_tokens, "tokens")
     return df.withColumn("drop_reason", reason)
 
 

@@ -7,21 +7,24 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE = "image string, code string, vega_spec string"
+from ..plans.spec import SPEC_KEYS
 
+#: Fields of a sample. All that may hold its spec are read, as text, so that numbers keep their notation.
+SAMPLE = ", ".join(f"{name} string" for name in ("image", "code", *SPEC_KEYS, "vega_lite_spec_path"))
 
-def resolve(spark: SparkSession, source, named: dict[str, DataFrame], datasets: dict[str, list]) -> DataFrame:
-    """SRC4-SRC7: inline values, a dataset of the spec, a DataFrame given by name, a URL, or no rows at all."""
-    if source.values is not None:
+
+def resolve(spark: SparkSession, source, named: dict[str, DataFrame], datasets: dict[str, list], fields: list[str] = ()) -> DataFrame:
+    """SRC4-SRC7: inline values, a dataset of the spec, a DataFrame given by name, a URL, or no rows at all (of `fields`)."""
+    if source.values:
         return inline(spark, list(source.values))
-    if source.name is not None:
-        if source.name in datasets:
+    if source.values is None and source.name is not None:
+        if datasets.get(source.name):
             return inline(spark, datasets[source.name])
         if source.name in named:
             return named[source.name]
-    if source.url is not None:
+    if source.values is None and source.url is not None:
         return from_url(spark, source.url)
-    return spark.createDataFrame([], "__empty int")
+    return spark.createDataFrame([], ", ".join(f"`{n}` double" for n in ("__empty", *fields)))
 
 
 def inline(spark: SparkSession, values: list) -> DataFrame:
@@ -61,7 +64,7 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2, SRC3: JSON lines of samples; the spec stays text, so that numbers keep their notation."""
+    """SRC2: JSON lines of samples; a spec that is an object there becomes its text."""
     return spark.read.schema(SAMPLE).json(path)
 
 

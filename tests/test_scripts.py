@@ -49,6 +49,16 @@ def test_comments_and_repair():
     assert pycode.repair(None) == ""
 
 
+def test_repair_finds_the_longest_run():
+    code = "import a\nfor i in x:\n    y = f(i,\n          2)\n    if y:\n        s = \"\"\"p\nq\"\"\"\n\nz = {\n  1: 2,\n}\nw = [k\n  for k in z]\ndef g():\n    return 1\ntry:\n    g()\nfinally:\n    h()"
+    for end in range(1, len(code)):
+        for least in (0.1, 0.6):
+            cut = code[:end].strip()
+            lines = [x for x in cut.splitlines() if x.strip()]
+            runs = [r for n in range(max(1, int(len(lines) * least)), len(lines)) if pycode.parsed(r := "\n".join(lines[:n]).rstrip()) is not None]
+            assert pycode.repair(code[:end], least) == (cut if pycode.parsed(cut) is not None else runs[-1] if runs else cut)
+
+
 @pytest.mark.parametrize("text,code", [("assistant\n```python\nx\n```\n```\ny\n```", "y"), (" z ", "z"), (None, ""), ("model\nq", "q")])
 def test_extract_code(spark, text, code):
     assert one(spark, scripts.extract_code(F.col("t")), t=text) == code
@@ -112,11 +122,17 @@ def test_augment_is_seeded_and_valid():
 def test_augment_parts():
     assert augment.colors("color='r', c=\"b\", color='tab:x'") == ["r", "b"]
     assert augment.map_colors("color='r'", {"r": "g"}) == "color='g'"
-    assert augment.fix_legends(".legend(loc='nowhere')") == ".legend(loc='upper right')"
+    assert augment.fix_legends("ax.legend(ncol=2, loc='nowhere')  # é") == "ax.legend(ncol=2, loc='upper right')  # é"
+    assert augment.fix_legends("ax.legend(loc='best')") == "ax.legend(loc='best')"
     assert augment.fix_legends("fig.legend(loc='best')") == "fig.legend(loc='upper right')"
     assert augment.clamp_alpha("alpha=1.5") == "alpha=1.0"
+    assert augment.clamp_alpha("é = plot(x, alpha=-2, beta=3)") == "é = plot(x, alpha=0.0, beta=3)"
     assert augment.drop_unsupported("f(a, hatchcolor='r')") == "f(a)"
     assert augment.insert("ax.plot(x)", "m=1") == "ax.plot(x, m=1)"
+    assert augment.insert("t = 'é'; ax.plot('ü', (x),  # why, é\n)", "m=1") == "t = 'é'; ax.plot('ü', (x),  # why, é\nm=1)"
+    assert augment.insert("plot()", "m=1") == "plot(m=1)" and augment.insert("plot((", "m=1") == "plot(("
+    assert augment.with_keyword("sns.set_theme(style=f(1, 2), x=3)", "sns.set_theme", "style", "'w'") == "sns.set_theme(style='w', x=3)"
+    assert augment.with_keyword("sns.set_theme()", "sns.set_theme", "style", "'w'") == "sns.set_theme(style='w')"
     assert augment.color_maps([], random.Random(0)) == [] and augment.color_maps(list("abcdefghijk"), random.Random(0)) == []
     assert len(augment.pool("scatter(")) == len(augment.pool("")) + 1
 
@@ -131,31 +147,42 @@ def sequential(rows):
     return out
 
 
-def test_two_key_dedup_is_the_sequential_one(spark):
+@pytest.mark.parametrize("finish_rows", [0, 5, 1000])
+def test_two_key_dedup_is_the_sequential_one(spark, finish_rows):
     rng = random.Random(3)
     for n in (0, 3, 60):
         rows = [(i, rng.choice([None, *map(str, range(9))]), rng.choice([None, *map(str, range(9))])) for i in range(n)]
         df = spark.createDataFrame(rows, "o long, a string, b string")
-        assert sorted(r.o for r in corpus.two_key_dedup(spark, df, "a", "b", "o").collect()) == sequential(rows)
+        assert sorted(r.o for r in corpus.two_key_dedup(spark, df, "a", "b", "o", finish_rows).collect()) == sequential(rows)
     chain = spark.createDataFrame([(1, "i1", "c1"), (2, "i2", "c1"), (3, "i2", "c2")], "o long, a string, b string")
-    assert sorted(r.o for r in corpus.two_key_dedup(spark, chain, "a", "b", "o").collect()) == [1, 3]
+    assert sorted(r.o for r in corpus.two_key_dedup(spark, chain, "a", "b", "o", finish_rows).collect()) == [1, 3]
+
+
+def test_two_key_dedup_ends_long_chains(spark):
+    rows = [(k, f"a{(k + 1) // 2}", f"b{k // 2}") for k in range(500)]
+    got = corpus.two_key_dedup(spark, spark.createDataFrame(rows, "o long, a string, b string"), "a", "b", "o", 490)
+    assert sorted(r.o for r in got.collect()) == sequential(rows)
 
 
-def test_streaming_dedup(spark, tmp_path):
+def test_streaming_dedup(spark, tmp_path, monkeypatch):
     from markloom.streaming.dedup import append_unique
 
     schema = "o long, a string, b string"
-    for k, rows in enumerate([[(1, "x", "p"), (2, "x", "q")], [(3, "y", "p"), (4, "z", "r")]]):
+    monkeypatch.setattr("markloom.streaming.dedup.COMPACT", 2)
+    for k, rows in enumerate([[(1, "x", "p"), (2, "x", "q")], [(3, "y", "p"), (4, "z", "r")], [(5, "x", "s"), (6, "w", "r"), (7, "v", None), (8, "u", None)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.json(f"file://{tmp_path}/in/{k}")
         stream = spark.readStream.schema(schema).json(f"file://{tmp_path}/in/*")
         append_unique(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/c", "a", "b", "o").awaitTermination()
-    assert sorted(r.o for r in spark.read.json(f"file://{tmp_path}/out/*").collect()) == [1, 4]
+    assert sorted(r.o for r in spark.read.json(f"file://{tmp_path}/out/*").collect()) == [1, 4, 7, 8]
+    assert sorted(x.name for x in (tmp_path / "out_keys").iterdir()) == ["batch=0", "batch=1", "batch=2", "upto=1"]
 
 
 def test_good_variants(spark):
-    rows = [("p", 0, 0, "c1", "s1", True, "s0"), ("p", 0, 1, "c1", "s2", True, "s0"), ("p", 0, 2, "c2", "s1", True, "s0"), ("p", 1, 0, "c3", "s0", True, "s0"), ("p", 1, 1, "c4", None, True, "s0"), ("p", 1, 2, "c5", "s5", False, "s0")]
-    df = spark.createDataFrame(rows, "path string, variant_idx int, attempt_idx int, code_sig string, image_sig string, different boolean, original_sig string")
-    assert [(r.variant_idx, r.attempt_idx) for r in corpus.good_variants(df).collect()] == [(0, 0)]
+    rows = [("p", 0, 0, "c1", "s1", False, True, "s0"), ("p", 0, 1, "c1", "s2", False, True, "s0"), ("p", 0, 2, "c2", "s1", False, True, "s0"), ("p", 1, 0, "c3", "s0", False, True, "s0"), ("p", 1, 1, "c4", None, False, True, "s0"), ("p", 1, 2, "c5", "s5", False, False, "s0")]
+    # a code whose first image isn't taken may come again, and a dull image makes nothing seen
+    rows += [("p", 2, 0, "c6", "s6", True, True, None), ("p", 2, 1, "c6", "s6", False, True, None), ("p", 2, 2, "c7", "s7", False, True, None)]
+    df = spark.createDataFrame(rows, "path string, variant_idx int, attempt_idx int, code_sig string, image_sig string, low_information boolean, different boolean, original_sig string")
+    assert sorted((r.variant_idx, r.attempt_idx) for r in corpus.good_variants(df).collect()) == [(0, 0), (2, 1), (2, 2)]
 
 
 def test_metrics():
@@ -187,6 +214,9 @@ def test_images(spark):
 def test_split_is_exact(spark):
     got = corpus.exact_split(spark.range(1003), "id").groupBy("split").count().collect()
     assert {r.split: r["count"] for r in got} == {"train": 601, "test": 402}
+    some = spark.range(10).selectExpr("if(id < 4, null, id) as id")
+    got = corpus.exact_split(some, "id").collect()
+    assert sorted(r.split for r in got) == ["test"] * 4 + ["train"] * 6 and {r.split for r in got if r.id is None} == {"test"}
 
 
 def test_conversations(spark):
@@ -194,7 +224,12 @@ def test_conversations(spark):
     rows = [("i", "c", None), ("j", "c", spec), ("k", None, None), (None, "c", None), ("l", "c" * 4000, None)]
     df = spark.createDataFrame(rows, "image string, code string, vega_spec string")
     told = dataset.conversations(df, {"spec": "S", "code": "C"})
-    kept = dataset.with_drop_reason(told, "S", most_tokens=5000, count_tokens=len)
+    assert "ordinal" in told.columns and dataset.conversations(df.withColumn("ord", F.lit(7)), {"spec": "S", "code": "C"}, "ord").first().ordinal == 7
+    kept = dataset.with_drop_reason(told, "S", most_tokens=5000, count_tokens=lambda texts: [len(t) for t in texts])
+    few = dataset.with_drop_reason(told, "S", most_tokens=4, count_tokens=lambda texts: [len(t) // (t[0] == "C") for t in texts])
+    assert {r.image: r.drop_reason for r in few.collect()} == {"i": None, "j": None, "l": "code length"}
+    third = told.withColumn("messages", F.concat("messages", F.array(F.element_at("messages", 1))))
+    assert {r.image: r.drop_reason for r in dataset.with_drop_reason(third, "S").collect()}["l"] == "code length"
     got = {r.image: (r.instruction, len(r.target_text), r.drop_reason) for r in kept.collect()}
     assert got == {"i": ("C", 1, None), "j": ("S", len('{"encoding":{},"mark":"bar"}'), None), "l": ("C", 4000, "code length")}
     assert told.select(dataset.first_of(F.col("messages"), "text")).first()[0] == "C"
