@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import arrays, images, metrics, pycode, scripts
-from .operators import augment, corpus, dataset, extract, overlap, report
+from .operators import augment, corpus, dataset, extract, marks, overlap, report
 from .plans.compile import compile_spec
-from .sources import sinks
+from .sources import relations, sinks
+from .sources.shared import own_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,11 +39,11 @@ def rounded(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), places) for n in names})
 
 
-def chart(name: str, tables: str | tuple[str, ...], spec: dict, sql: str, columns: list[str], round_to: dict[str, int] | None = None, order_by: str | None = None) -> None:
+def chart(name: str, tables: str | tuple[str, ...], spec: dict, sql: str, columns: list[str], round_to: dict[str, int] | None = None, order_by: str | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """A query that compiles a spec over tables and gives the named columns of its mark table."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sources = {t: table(spark, sf_dir, t) for t in ((tables,) if isinstance(tables, str) else tables)}
+        sources = {t: prepare(table(spark, sf_dir, t)) for t in ((tables,) if isinstance(tables, str) else tables)}
         df = compile_spec(spark, json.dumps(spec), sources, order_by=order_by).df.select(*columns)
         return df.withColumns({n: F.round(F.col(n), p) for n, p in (round_to or {}).items()})
 
@@ -94,10 +97,12 @@ chart(
     {"data": {"name": "lineitem"}, "mark": "bar", "encoding": {"x": f("l_returnflag"), "y": f("l_quantity"), "color": f("l_linestatus")}},
     """WITH r AS (SELECT l_returnflag x, l_linestatus series, l_quantity v, l_orderkey o FROM lineitem),
     c AS (SELECT x, series, sum(v) y FROM r GROUP BY 1, 2),
-    xs AS (SELECT x, row_number() OVER (ORDER BY min(o), x) - 1 AS i FROM r GROUP BY x), ss AS (SELECT series, min(o) FROM r GROUP BY series)
-    SELECT xs.x, ss.series, coalesce(c.y, 0) AS y FROM xs CROSS JOIN ss LEFT JOIN c ON c.x = xs.x AND c.series = ss.series""",
-    ["x", "series", "y"],
-    order_by="l_orderkey",
+    xs AS (SELECT x, row_number() OVER (ORDER BY min(o)) - 1 AS i FROM r GROUP BY x), ss AS (SELECT series, row_number() OVER (ORDER BY min(o)) - 1 AS j, count(*) OVER () AS k FROM r GROUP BY series)
+    SELECT xs.x, ss.series, coalesce(c.y, 0) AS y, CAST(i AS INTEGER) AS x_index, CAST(j AS INTEGER) AS series_index, round(i + j * (0.8 / k) - 0.4 + 0.8 / k / 2, 6) AS position FROM xs CROSS JOIN ss LEFT JOIN c ON c.x = xs.x AND c.series = ss.series""".replace("l_orderkey o", "CAST(l_orderkey AS BIGINT) * 1000 + l_linenumber * 10 + CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END o"),
+    ["x", "series", "y", "x_index", "series_index", "position"],
+    {"position": 6},
+    order_by="__order",
+    prepare=lambda rows: rows.withColumn("__order", F.col("l_orderkey").cast("long") * 1000 + F.col("l_linenumber") * 10 + F.when(F.col("l_linestatus") == "O", 1).otherwise(0)),
 )
 chart("bar_raw", "nation", {"data": {"name": "nation"}, "mark": "bar", "encoding": {"x": f("n_name"), "y": f("n_regionkey")}}, "SELECT n_name AS x, n_regionkey AS y FROM nation", ["x", "y"])
 
@@ -208,10 +213,82 @@ chart(
 )
 
 
+chart(
+    "filter_inequality",
+    "events",
+    {"data": {"name": "events"}, "transform": [{"filter": "datum.kind != 'a' && !(datum.value > 0)"}, {"calculate": "datum.value * 2", "as": "twice"}], "mark": "tick", "encoding": {"x": f("event_id")}},
+    "SELECT event_id AS x, 0 AS y FROM (SELECT *, CASE WHEN event_id % 3 > 0 THEN CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END END AS kind FROM events) WHERE (kind <> 'a' OR kind IS NULL) AND coalesce(NOT (value > 0), true)",
+    ["x", "y"],
+    prepare=lambda rows: rows.withColumn("kind", F.when(F.col("event_id") % 3 > 0, F.when(F.col("event_id") % 2 == 0, "a").otherwise("b"))),
+)
+chart(
+    "filter_bounds",
+    "orders",
+    {"data": {"name": "orders"}, "transform": [{"filter": f("o_orderstatus", equal="O")}, {"filter": f("o_totalprice", gte=1000)}, {"filter": f("o_orderkey", lt=5000)}], "mark": "tick", "encoding": {"x": f("o_orderkey"), "y": f("o_totalprice")}},
+    "SELECT o_orderkey AS x, o_totalprice AS y FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000 AND o_orderkey < 5000",
+    ["x", "y"],
+)
+chart(
+    "vconcat_grid",
+    ("orders", "part"),
+    {"vconcat": [{"data": {"name": "orders"}, "mark": "bar", "encoding": {"x": f("o_orderstatus"), "y": f("o_orderkey", aggregate="count")}}, {"mark": "bar", "encoding": {"x": f("p_brand"), "y": {"aggregate": "count"}}}, {"data": {"name": "part"}, "mark": "bar", "encoding": {"x": f("p_brand"), "y": {"aggregate": "count"}}}]},
+    "SELECT 0 AS panel, o_orderstatus AS x, count(*) AS y FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 2 UNION ALL SELECT 2, p_brand, count(*) FROM part WHERE p_brand IS NOT NULL GROUP BY 2",
+    ["panel", "x", "y"],
+)
+chart(
+    "grouped_bar_median",
+    "orders",
+    {"data": {"name": "orders"}, "mark": "bar", "encoding": {"x": f("o_orderstatus"), "y": f("o_totalprice", aggregate="median"), "color": f("o_orderpriority")}},
+    """WITH c AS (SELECT o_orderstatus x, o_orderpriority series, median(o_totalprice) y FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2)
+    SELECT a.x, b.series, round(coalesce(c.y, 0), 4) AS y FROM (SELECT DISTINCT x FROM c) a CROSS JOIN (SELECT DISTINCT series FROM c) b LEFT JOIN c ON c.x = a.x AND c.series = b.series""",
+    ["x", "series", "y"],
+    {"y": 4},
+)
+
+
+@query(
+    """WITH r AS (SELECT o_orderpriority AS x, o_totalprice * o_totalprice AS y FROM orders), q AS (SELECT x AS p, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM r GROUP BY 1)
+    SELECT x, y FROM r JOIN q ON p = x WHERE y NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"""
+)
+def boxplot_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_totalprice") * F.col("o_totalprice")).alias("v"))
+    boxes = compile_spec(spark, {"data": {"name": "o"}, "mark": "boxplot", "encoding": {"x": f("o_orderpriority"), "y": f("v")}}, {"o": rows}).df
+    return marks.outliers(rows, boxes, "o_orderpriority", "v")
+
+
+@query("SELECT event_type AS series, event_id AS x, value AS y, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS INTEGER) AS step FROM events WHERE event_type IS NOT NULL")
+def line_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of each line in the order in which it goes through them."""
+    spec = {"data": {"name": "events"}, "mark": "line", "encoding": {"x": f("event_id"), "y": f("value"), "color": f("event_type")}}
+    lines = compile_spec(spark, spec, {"events": table(spark, sf_dir, "events")}, order_by="event_id").df
+    return lines.select("series", "x", "y", F.row_number().over(Window.partitionBy("series").orderBy("ordinal")).alias("step"))
+
+
+@query("SELECT v.k AS x, sum(v.n) AS y FROM (VALUES ('a', 1.5), ('b', 2.0), ('a', 3.0), (NULL, 9.0)) v(k, n) WHERE v.k IS NOT NULL GROUP BY 1 UNION ALL SELECT 'set', 7.0")
+def inline_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline rows, a dataset of the spec, and no rows at all."""
+    child = {"mark": "bar", "encoding": {"x": f("k"), "y": f("n", aggregate="sum")}}
+    own = {**child, "data": {"values": [{"k": "a", "n": 1.5}, {"k": "b", "n": 2}, {"k": "a", "n": 3}, {"n": 9}]}}
+    spec = {"hconcat": [own, {**child, "data": {"name": "more"}}, child], "datasets": {"more": [{"k": "set", "n": 7}]}}
+    return compile_spec(spark, spec).df.select("x", F.col("y").cast("double").alias("y"))
+
+
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS x, count(*) AS y FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY 1")
 def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select((F.get_json_object("props", "$.k").cast("long") % 10).alias("k"))
-    return compile_spec(spark, {"data": {"name": "e"}, "mark": "bar", "encoding": {"x": f("k"), "y": {"aggregate": "count"}}}, {"e": rows}).df
+    """The events' properties as a JSON file that the spec names by its URL."""
+    url = f"{own_dir(spark)}/{uuid.uuid4().hex}.jsonl"
+    table(spark, sf_dir, "events").select("props").where("props is not null").write.text(url)
+    counts = compile_spec(spark, {"data": {"url": url}, "mark": "bar", "encoding": {"x": f("k"), "y": {"aggregate": "count"}}}).df
+    return counts.groupBy((F.col("x") % 10).cast("long").alias("x")).agg(F.sum("y").alias("y"))
+
+
+@query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_size > 10")
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written by the CSV sink and read by its URL."""
+    url = f"{own_dir(spark)}/{uuid.uuid4().hex}.csv"
+    sinks.write_csv(table(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", "p_brand", "p_size"), url)
+    rows = relations.from_url(spark, url)
+    return rows.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.col("p_size").cast("long").alias("p_size"))
 
 
 # --- corpus -----------------------------------------------------------------------------------------------------------
@@ -241,7 +318,9 @@ def substring_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN length(text) > 3000 THEN 'code length' ELSE NULL END AS drop_reason FROM documents")
 def length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > dataset.MOST_CODE, "code length").alias("drop_reason"))
+    code = F.coalesce("text", F.lit(""))
+    samples = table(spark, sf_dir, "documents").select("doc_id", F.lit("i.png").alias("image"), code.alias("code"), F.lit(None).cast("string").alias("vega_spec"))
+    return dataset.with_drop_reason(dataset.conversations(samples, INSTRUCTIONS), INSTRUCTIONS[dataset.SPEC_TASK]).select("doc_id", "drop_reason")
 
 
 @query(
@@ -273,12 +352,53 @@ def failed_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.failed_by_group(table(spark, sf_dir, "documents"), "source", "text")
 
 
+@query("SELECT DISTINCT source, lang FROM documents WHERE lang IS NOT NULL")
+def failed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.failed_names(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+@query("SELECT page_id, '/copy' || substr(url, 7) AS path FROM pages WHERE starts_with(url, 'https://')")
+def re_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").where(F.startswith("url", F.lit("https://")))
+    return pages.select("page_id", corpus.re_rooted(F.col("url"), "https:/", "/copy/").alias("path"))
+
+
+_IMPORTS = (("import numpy as np", "contains({0}, 'np.')"), ("import matplotlib.pyplot as plt", "(contains({0}, 'plt.') OR contains({0}, 'matplotlib'))"), ("import seaborn as sns", "contains({0}, 'sns.')"), ("import pandas as pd", "contains({0}, 'pd.')"))
+_HEAD = " || ".join(f"CASE WHEN {used.format('c')} AND NOT contains(c, '{line}') THEN '{line}' || chr(10) ELSE '' END" for line, used in _IMPORTS)
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'x = np.pi' WHEN 1 THEN 'plt.plot([1])' || chr(10) || 'sns.set_theme()' WHEN 2 THEN 'import numpy as np' || chr(10) || 'np.e' ELSE 'y = pd.NA; plt.show()' END || ' # ' || p_brand AS c FROM part),
+    h AS (SELECT id, {_HEAD} || c AS c FROM c)
+    SELECT id, c AS with_imports, CASE WHEN contains(c, 'plt.show()') THEN 'import matplotlib' || chr(10) || 'matplotlib.use(''Agg'')' || chr(10) || c ELSE 'import matplotlib' || chr(10) || 'matplotlib.use(''Agg'')' || chr(10) || c || chr(10) || 'plt.show()' || chr(10) END AS runnable FROM h"""
+)
+def sanitized_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("p_partkey") % 4
+    body = F.when(kind == 0, "x = np.pi").when(kind == 1, "plt.plot([1])\nsns.set_theme()").when(kind == 2, "import numpy as np\nnp.e").otherwise("y = pd.NA; plt.show()")
+    code = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(body, F.lit(" # "), "p_brand").alias("code"))
+    return code.select("id", scripts.ensure_imports(F.col("code")).alias("with_imports"), scripts.for_execution(F.col("code")).alias("runnable"))
+
+
+@query("SELECT p_partkey AS id, (SELECT string_agg('v' || i || ' = ' || i, chr(10) ORDER BY i) FROM range(p_size) t(i)) AS code FROM part WHERE p_size > 0")
+def repaired_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated code with an unfinished last line, which goes if enough is left."""
+    lines = F.transform(F.sequence(F.lit(0), F.col("p_size") - 1), lambda i: F.concat(F.lit("v"), i, F.lit(" = "), i))
+    torn = F.concat(F.array_join(lines, "\n"), F.lit("\nax.plot(("))
+    return table(spark, sf_dir, "part").where("p_size > 0").select(F.col("p_partkey").alias("id"), pycode.repair_udf(torn).alias("code"))
+
+
 @query("SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text")
 def first_error_per_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.first_errors(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id")
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, sha1(text) AS a, coalesce(CAST(n_chars AS VARCHAR), 'own ' || doc_id) AS b FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS a, CAST([] AS VARCHAR[]) AS b, CAST(NULL AS BIGINT) AS doc_id
+    UNION ALL SELECT d.i, CASE WHEN list_contains(r.a, d.a) OR list_contains(r.b, d.b) THEN r.a ELSE list_append(r.a, d.a) END, CASE WHEN list_contains(r.a, d.a) OR list_contains(r.b, d.b) THEN r.b ELSE list_append(r.b, d.b) END,
+    CASE WHEN list_contains(r.a, d.a) OR list_contains(r.b, d.b) THEN NULL ELSE d.doc_id END FROM r JOIN d ON d.i = r.i + 1)
+    SELECT doc_id FROM r WHERE doc_id IS NOT NULL"""
+)
 def greedy_two_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("text_sig"), "n_chars")
     return corpus.two_key_dedup(spark, docs, "text_sig", "n_chars", "doc_id").select("doc_id")
@@ -307,17 +427,38 @@ def low_information(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- conversations and generated text -----------------------------------------------------------------------------------
 
 
+INSTRUCTIONS = {dataset.SPEC_TASK: "Give the chart spec.", dataset.CODE_TASK: "Give the code."}
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as the answer of a training conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("conv_id", F.lit(".png")).alias("image"), F.col("text").alias("code"), F.lit(None).cast("string").alias("vega_spec"))
+    return dataset.conversations(turns, INSTRUCTIONS, "turn")
+
+
 @query("SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations WHERE text IS NOT NULL")
 def conversation_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.struct(F.lit("text").alias("type"), F.col("text"))
-    told = table(spark, sf_dir, "conversations").withColumn("message", F.struct("role", F.array(part).alias("content")))
-    return told.where("message.content[0].text is not null").select("conv_id", "turn", "message.role", F.length(F.col("message.content")[0]["text"]).cast("long").alias("n_chars"))
+    answer = dataset.first_of(F.col("messages"), "text", "assistant")
+    return _told(spark, sf_dir).select("conv_id", F.col("ordinal").alias("turn"), "role", F.length(answer).cast("long").alias("n_chars"))
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1")
 def last_assistant_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return told.groupBy("conv_id").agg(F.max(F.struct("turn", "text"))["text"].alias("text"))
+    answer = dataset.first_of(F.col("messages"), "text", "assistant")
+    told = _told(spark, sf_dir).where("role = 'assistant'").select("conv_id", F.struct("ordinal", answer.alias("text")).alias("last"))
+    return told.groupBy("conv_id").agg(F.max("last")["text"].alias("text"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL")
+def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples written as JSON lines in two goes, and read again."""
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    told = rows.select(F.concat_ws(" ", "conv_id", "turn", "role").alias("image"), F.col("text").alias("code"), F.col("conv_id").cast("string").alias("vega_lite_spec"))
+    sinks.write_samples(told.where(rows.turn % 2 == 0), path)
+    sinks.write_samples(told.where(rows.turn % 2 != 0), path, append=True)
+    parts = F.split("image", " ")
+    return relations.samples(spark, path).select(F.col("vega_lite_spec").cast("long").alias("conv_id"), parts[1].cast("int").alias("turn"), parts[2].alias("role"), F.col("code").alias("text"))
 
 
 @query("""SELECT page_id, trim(CASE WHEN len(b) > 0 THEN b[-1] ELSE t END, ' ' || chr(9) || chr(10) || chr(13)) AS code FROM (SELECT page_id, trim(url, ' ') t, regexp_extract_all('```python' || chr(10) || url || chr(10) || '```', '```(?:python)?\\s*([\\s\\S]*?)```', 1) b FROM pages)""")
@@ -412,14 +553,25 @@ def loss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.loss_summary(log), "reduction_pct", places=6)
 
 
+def _det(*rows: str) -> str:
+    a, b, c = (r.split() for r in rows)
+    return f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
+
+
 @query(
-    """WITH l AS (SELECT CAST(event_id AS DOUBLE) / 1000 x, value y FROM events WHERE value IS NOT NULL)
-    SELECT count(*) AS s0, round(sum(x), 3) AS s1, round(sum(x * x), 3) AS s2, round(sum(y), 3) AS t0, round(sum(x * y), 2) AS t1 FROM l"""
+    f"""WITH l AS (SELECT CAST(event_id AS DOUBLE) / (SELECT max(event_id) FROM events) x, value y FROM events WHERE value IS NOT NULL),
+    m AS (SELECT CAST(count(*) AS DOUBLE) s0, sum(x) s1, sum(x * x) s2, sum(x * x * x) s3, sum(x * x * x * x) s4, sum(y) t0, sum(x * y) t1, sum(x * x * y) t2 FROM l), d AS (SELECT *, {_det("s0 s1 s2", "s1 s2 s3", "s2 s3 s4")} AS det FROM m)
+    SELECT CAST(s0 AS BIGINT) AS s0, round(s1, 3) AS s1, round(s2, 3) AS s2, round(s3, 3) AS s3, round(s4, 3) AS s4, round(t0, 3) AS t0, round(t1, 3) AS t1, round(t2, 3) AS t2,
+    round({_det("s0 s1 t0", "s1 s2 t1", "s2 s3 t2")} / det, 4) AS a, round({_det("s0 t0 s2", "s1 t1 s3", "s2 t2 s4")} / det, 4) AS b, round({_det("t0 s1 s2", "t1 s2 s3", "t2 s3 s4")} / det, 4) AS c FROM d"""
 )
 def loss_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "events").select((F.col("event_id") / 1000).alias("step"), F.col("value").alias("loss"))
-    sums = report.moments(log).select(F.col("s0").cast("long").alias("s0"), "s1", "s2", "t0", "t1")
-    return rounded(rounded(sums, "s1", "s2", "t0", places=3), "t1", places=2)
+    """The moments and the fit that comes from them."""
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).first()[0]
+    log = events.select((F.col("event_id").cast("double") / float(last or 1)).alias("step"), F.col("value").alias("loss"))
+    fit = report.quadratic_trend(log) or (None, None, None)
+    sums = report.moments(log).withColumns({n: F.lit(v).cast("double") for n, v in zip("abc", fit, strict=True)}).withColumn("s0", F.col("s0").cast("long"))
+    return rounded(rounded(sums, "s1", "s2", "s3", "s4", "t0", "t1", "t2", places=3), "a", "b", "c")
 
 
 # --- native array functions -----------------------------------------------------------------------------------------------
@@ -444,34 +596,81 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- row-wise Python operators over generated scripts (no SQL; tested in pytest) --------------------------------------------
+# --- row-wise Python operators over generated scripts -------------------------------------------------------------------------
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file, which is one task, over all cores, for what each row costs in Python."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plotting script for each part."""
     body = "import numpy as np\nimport matplotlib.pyplot as plt\n# part %s\nx = np.arange(0, %s)\nplt.plot(x, x * %s, color='red', alpha=0.5)\nplt.title('%s')\nplt.show()\n"
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.format_string(body, "p_partkey", F.col("p_size") + 2, "p_size", "p_brand").alias("code"))
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
+    return part.select(F.col("p_partkey").alias("id"), F.format_string(body, "p_partkey", F.col("p_size") + 2, "p_size", "p_brand").alias("code"))
 
 
-@query()
+def _lines(*lines: str) -> str:
+    """SQL for lines of text; {x} stands for a column."""
+    return "format('" + "\\n".join(lines).replace("'", "''").replace("\\n", "' || chr(10) || '") + "'"
+
+
+_CLEAN = _lines("import numpy as np", "import matplotlib.pyplot as plt", "", "x = np.arange(0, {})", "plt.plot(x, x * {}, color='red', alpha=0.5)", "plt.title('{}')", "plt.show()", "") + ", p_size + 2, p_size, p_brand)"
+_CODE = _lines("import numpy as np", "import matplotlib.pyplot as plt", "# part {}", "x = np.arange(0, {})", "plt.plot(x, x * {}, color='red', alpha=0.5)", "plt.title('{}')", "plt.show()", "") + ", p_partkey, p_size + 2, p_size, p_brand)"
+_QUANTITATIVE = '"encoding":{"x":{"field":"x","type":"quantitative"},"y":{"field":"y","type":"quantitative"}}'
+_SPEC = """('{"data":{"values":[' || (SELECT string_agg('{"x":' || i || ',"y":' || i * p_size || '}', ',' ORDER BY i) FROM range(p_size + 2) t(i)) || ']},""" + _QUANTITATIVE + ""","mark":"line","title":"' || p_brand || '"}')"""
+
+
+@query(f"SELECT p_partkey AS id, 0 AS n_axes, 'arange,plot,show,title' AS calls, {_CLEAN} AS code FROM part")
 def script_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.clean(_scripts(spark, sf_dir)).withColumn("facts", pycode.script_facts("code")).select("id", "facts.n_axes", F.array_join("facts.calls", ",").alias("calls"), "code")
 
 
-@query()
+@query(f"SELECT p_partkey AS id, {_SPEC} AS spec FROM part")
 def spec_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scripts(spark, sf_dir).select("id", extract.extract_udf("code").alias("spec"))
 
 
-@query()
+#: A script of each kind, with one number, and the spec of its chart.
+KINDS = (
+    ("labels = ['a', 'b', 'c']\nplt.bar(labels, [{0}, {0} + 1, {0} * 2])\nplt.xlabel('kind')", '{"data":{"values":[{"category":"a","value":N},{"category":"b","value":N+1},{"category":"c","value":N*2}]},"encoding":{"x":{"field":"category","title":"kind","type":"nominal"},"y":{"field":"value","type":"quantitative"}},"mark":"bar"}'),
+    ("x = np.arange(2)\nplt.plot(x, x + {0}, label='up')\nplt.plot(x, x - {0}, label='down')", '{"data":{"values":[{"series":"up","x":0,"y":N},{"series":"up","x":1,"y":N+1},{"series":"down","x":0,"y":0-N},{"series":"down","x":1,"y":1-N}]},"encoding":{"color":{"field":"series","type":"nominal"},"x":{"field":"x","type":"quantitative"},"y":{"field":"y","type":"quantitative"}},"mark":"line"}'),
+    ("values = [{0}, 2, 3, {0}, 5][1:4]\nplt.hist(values, bins={0})\nplt.title('t')", '{"data":{"values":[{"value":2},{"value":3},{"value":N}]},"encoding":{"x":{"bin":{"maxbins":N},"field":"value","type":"quantitative"},"y":{"aggregate":"count","type":"quantitative"}},"mark":"bar","title":"t"}'),
+    ("plt.imshow([[{0}, 1], [2, 3]])", '{"data":{"values":[{"value":N,"x":0,"y":0},{"value":1,"x":1,"y":0},{"value":2,"x":0,"y":1},{"value":3,"x":1,"y":1}]},"encoding":{"color":{"field":"value","type":"quantitative"},"x":{"field":"x","type":"ordinal"},"y":{"field":"y","type":"ordinal"}},"mark":"rect"}'),
+    ("plt.boxplot([[{0}, 1], [3, {0} - 1]])", '{"data":{"values":[{"group":"group_1","value":N},{"group":"group_1","value":1},{"group":"group_2","value":3},{"group":"group_2","value":N-1}]},"encoding":{"x":{"field":"group","type":"nominal"},"y":{"field":"value","type":"quantitative"}},"mark":"boxplot"}'),
+)
+
+
+def _spec_sql(spec: str) -> str:
+    return "'" + re.sub(r"(?<=:)(?:0-N|1-N|N(?:[+*-]\d)?)(?=[,}])", lambda m: f"' || ({m[0].replace('N', 'p_size')}) || '", spec) + "'"
+
+
+@query(f"SELECT p_partkey AS id, CASE p_partkey % {len(KINDS)} " + " ".join(f"WHEN {k} THEN {_spec_sql(spec)}" for k, (_, spec) in enumerate(KINDS)) + " END AS spec FROM part")
+def spec_extract_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs of bars, lines, a histogram, a heatmap and boxes."""
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    code = F.lit(None).cast("string")
+    for k, (body, _) in enumerate(KINDS):
+        text = F.replace(F.lit("import numpy as np\nimport matplotlib.pyplot as plt\n" + body), F.lit("{0}"), F.col("p_size").cast("string"))
+        code = F.when(F.col("p_partkey") % len(KINDS) == k, text).otherwise(code)
+    return part.select(F.col("p_partkey").alias("id"), code.alias("code")).select("id", extract.extract_udf("code").alias("spec"))
+
+
+@query("SELECT p_partkey AS id, 'line' AS kind, true AS supported FROM part")
 def spec_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec_extract(spark, sf_dir).withColumn("c", metrics.classify_udf("spec")).select("id", "c.*")
 
 
-@query()
+@query(
+    """WITH n AS (SELECT p_partkey AS id, CAST(2 * (p_size + 2) + 6 AS DOUBLE) AS n FROM part)
+    SELECT id, false AS ir_exact_match, (n - 1) / n AS ir_field_precision, (n - 1) / n AS ir_field_recall, round((n - 1) / n, 12) AS ir_field_f1, 0.5 + 0.5 * ((n - 1) / (n + 1)) AS ir_tree_similarity FROM n"""
+)
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = spec_extract(spark, sf_dir)
-    return specs.withColumn("s", metrics.ir_scores_udf("spec", F.regexp_replace("spec", "line", "point"))).select("id", "s.*")
+    scored = specs.withColumn("s", metrics.ir_scores_udf("spec", F.regexp_replace("spec", "line", "point"))).select("id", "s.*")
+    return rounded(scored, "ir_field_f1", places=12)
 
 
 @query()
@@ -480,16 +679,32 @@ def augment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augment.variants(tasks).select("id", "variant_idx", "attempt_idx", F.sha1(F.col("new_code").cast("binary")).alias("code_sig"))
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text with that of an item: those whose ids agree modulo the number of items."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    numbered = items.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id")) - 1)
+    n = items.count()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod(F.col("doc_id"), F.lit(max(n, 1))).alias("k"))
+    return _spread(docs.join(numbered, "k"), "doc_id")
+
+
 @query()
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _scripts(spark, sf_dir)
-    return code.select("id", metrics.edit_similarity_udf("code", F.regexp_replace("code", "plot", "scatter")).alias("edit_sim"))
+    return _pairs(spark, sf_dir).select("doc_id", metrics.edit_similarity_udf("text", "item").alias("edit_sim"))
 
 
-@query()
+_GRAMS = "list_transform(range(1, greatest(len({0}) - {1} + 2, 1)), lambda i: array_to_string({0}[i : i + {1} - 1], chr(1)))"
+_HITS = "(SELECT coalesce(sum(least(m, coalesce(o, 0))), 0) FROM (SELECT g, count(*) m FROM (SELECT unnest(" + _GRAMS.format("b", "{0}") + ") g) GROUP BY 1) LEFT JOIN (SELECT g2, count(*) o FROM (SELECT unnest(" + _GRAMS.format("a", "{0}") + ") g2) GROUP BY 1) ON g = g2)"
+
+
+@query(
+    f"""WITH n AS (SELECT count(*) AS n FROM benchmark), i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, text AS item FROM benchmark),
+    p AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(coalesce(item, ''), '\\s+'), lambda x: x <> '') AS b FROM documents, n JOIN i ON i.k = doc_id % n.n),
+    h AS (SELECT doc_id, len(a) AS la, len(b) AS lb, {", ".join(f"{_HITS.format(k)} AS h{k}" for k in (1, 2, 3, 4))} FROM p)
+    SELECT doc_id, round(CASE WHEN h1 = 0 THEN 0.0 ELSE CASE WHEN lb > la THEN 1.0 ELSE exp(1 - CAST(la AS DOUBLE) / lb) END * exp(({" + ".join(f"ln(CASE WHEN h{k} = 0 THEN 0.1 ELSE h{k} END / CAST(greatest(1, lb - {k - 1}) AS DOUBLE))" for k in (1, 2, 3, 4))}) / 4) END, 9) AS bleu FROM h"""
+)
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _scripts(spark, sf_dir)
-    return code.select("id", metrics.bleu_udf("code", F.regexp_replace("code", "np\\.", "numpy.")).alias("bleu"))
+    return rounded(_pairs(spark, sf_dir).select("doc_id", metrics.bleu_udf("text", "item").alias("bleu")), "bleu", places=9)
 
 
 @query()
@@ -499,9 +714,11 @@ def evaluate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.evaluate(rows).select("id", *report.METRICS, "ir_exact_match", "ir_field_f1", "ir_tree_similarity")
 
 
-@query()
+@query(
+    f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'Give the chart spec.' ELSE 'Give the code.' END AS instruction, CASE WHEN p_partkey % 2 = 0 THEN {_SPEC} ELSE {_CODE} END AS target_text,
+    p_partkey || '.png' AS first_image, CASE WHEN p_partkey % 2 = 1 AND length({_CODE}) > 120 THEN 'code length' END AS drop_reason FROM part"""
+)
 def training_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = _scripts(spark, sf_dir).select("id", F.concat(F.col("id").cast("string"), F.lit(".png")).alias("image"), "code", F.when(F.col("id") % 2 == 0, extract.extract_udf("code")).alias("vega_spec"))
-    talks = dataset.conversations(samples, {dataset.SPEC_TASK: "Give the chart spec.", dataset.CODE_TASK: "Give the code."})
-    checked = dataset.with_drop_reason(talks, "Give the chart spec.", most_code=120)
+    checked = dataset.with_drop_reason(dataset.conversations(samples, INSTRUCTIONS), INSTRUCTIONS[dataset.SPEC_TASK], most_code=120)
     return checked.select("id", "instruction", "target_text", dataset.first_of(F.col("messages"), "image").alias("first_image"), "drop_reason")
