@@ -28,6 +28,8 @@ BATCHES = 4
 #: Keys of a run's bucket, on average, over all runs.
 BUCKET_KEYS = 1_000_000
 MAX_BUCKETS = 50_000
+#: So many common keys at most are broadcast, 16 bytes each.
+BROADCAST_KEYS = 500_000
 
 
 def lines_of(text: Column) -> Column:
@@ -147,7 +149,7 @@ def build_runs(spark: SparkSession, keys: DataFrame, batches: int = BATCHES, fan
 
 def dropped_keys(keys: DataFrame, common: DataFrame) -> DataFrame:
     """doc_id, t with the hashes of the row's lines that are in `common`; rows without any are absent."""
-    hit = keys.join(common.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    hit = keys.join(common, ["h1", "h2"], "left_semi")
     return hit.groupBy("doc_id", "t").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 
@@ -155,7 +157,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS,
     """docs with the columns __lines and __kept: every line, and those whose key is in fewer than `min_docs` rows."""
     keys = write_shared(spark, line_keys(docs.select("doc_id", "text"), batches), "keys")
     runs = build_runs(spark, keys, batches, fan_in)
-    common = runs.counts().where(F.col("n") >= min_docs)
+    # written, so that its size is known, and a join on a hot key can be split
+    common = write_shared(spark, runs.counts().where(F.col("n") >= min_docs).select("h1", "h2"), "common")
+    common = F.broadcast(common) if common.count() <= BROADCAST_KEYS else common
     gone = dropped_keys(keys, common).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]) & (F.xxhash64(docs["text"]) == gone["__t"]), "left")
     pairs = F.transform(F.transform("__lines", lambda x: F.struct(x.alias("line"), line_key(x).alias("key"))), lambda x: F.struct(x["line"].alias("line"), F.struct(*hashes(x["key"])).alias("hash"), (F.length(x["key"]) > 0).alias("full")))
