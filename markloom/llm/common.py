@@ -1,43 +1,69 @@
-"""Shared storage and small helpers of the corpus operators."""
+"""Shared storage and small helpers of the corpus operators.
+
+What they write lies below spark.checkpoint.dir; markloom.sources.shared.clean_up() deletes it.
+"""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, own_dir
+
 #: Broadcast variables and collected tables stay below this size; beyond it another way is taken.
 BROADCAST_LIMIT_BYTES = 64 << 20
+#: Whole texts that a Python worker gets at once.
+TEXT_ROWS = 1000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only a local session that has none gets a temporary one."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not re.match(r"local($|\[)", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='markloom-')}"
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """From now on Python gets no more than `rows` rows at once. Spark's 10,000 whole texts have no useful bound in bytes.
+
+    The setting is read when a plan is made, which for a lazy result is after the operator has returned; so it stays.
+    A smaller one of the caller's is left alone.
+    """
+    if int(spark.conf.get(BATCH_ROWS)) > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+@contextmanager
+def number_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
+    """While plans over short rows are made and run."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
 
+def trim() -> None:
+    """Gives what a Python worker has freed back to the system; workers live on from stage to stage."""
+    import ctypes
 
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/markloom/{spark.sparkContext.applicationId}"
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def write_shared(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes `df` to the shared folder and reads it back: lineage ends there, so a lost executor costs a reread only."""
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
@@ -47,7 +73,7 @@ def write_shared(spark: SparkSession, df: DataFrame, name: str, compression: str
 def write_bucketed(spark: SparkSession, df: DataFrame, name: str, buckets: int, columns: list[str], sort_by: list[str] | None = None, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
     """The same as a table bucketed by `columns`, so that joins and groups on them move nothing."""
     key = uuid.uuid4().hex
-    path, table_name = f"{_own_dir(spark)}/{key}/{name}", f"markloom_{name}_{key}"
+    path, table_name = f"{own_dir(spark)}/{key}/{name}", f"markloom_{name}_{key}"
     writer = df.write.format("parquet").option("compression", compression).option("path", path).bucketBy(buckets, *columns)
     writer = writer.sortBy(*sort_by) if sort_by else writer
     (writer.partitionBy(partition_by) if partition_by else writer).saveAsTable(table_name)
@@ -56,24 +82,12 @@ def write_bucketed(spark: SparkSession, df: DataFrame, name: str, buckets: int,
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def drop_shared(spark: SparkSession, df: DataFrame) -> None:
     """Deletes what write_shared() or write_bucketed() wrote, once nothing reads it any more."""
     if table_name := getattr(df, "shared_table", None):
         spark.sql(f"DROP TABLE IF EXISTS {table_name}")
     if path := getattr(df, "shared_path", None):
-        _delete(spark, path.rsplit("/", 1)[0])
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Deletes all that the operators of this session wrote. Results are lazy and read it: save them first."""
-    for row in spark.sql("SHOW TABLES LIKE 'markloom_*'").collect():
-        spark.sql(f"DROP TABLE IF EXISTS {row.tableName}")
-    _delete(spark, _own_dir(spark))
+        delete(spark, path.rsplit("/", 1)[0])
 
 
 def text_bytes(col: str = "text"):

@@ -5,13 +5,18 @@ tables: SHIFT gives, for a block of two words, how far the search may jump witho
 shift 0 leads through the suffix bucket to the few patterns that end in it; those are compared word by word.
 
 Null, empty and wordless texts have no words and no hits. Items without words have no windows. Rows with a null or
-repeated doc_id are answered row by row; repeated item_ids are one item; a null item_id is left out. Of the inputs
-only doc_id, item_id and text are read, so other columns may have any name.
+repeated doc_id are answered row by row. Repeated item_ids are one item; the windows of an item without id count as
+hits, but it is named nowhere. Texts of any length are searched whole; ties don't arise, as spans are merged. Of the
+inputs only doc_id, item_id and text are read, so other columns may have any name.
+
+The items come in blocks of bounded bytes. The tables of one block are built and broadcast at a time; with several
+blocks each search is written before the next, as the hits of each distinct text, and the union of their spans counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,10 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT_BYTES, text_bytes
+from .common import BROADCAST_LIMIT_BYTES, text_batches, text_bytes, write_shared
 
 WINDOW = 10
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes of the items' texts in a block.
+BLOCK_BYTES = BROADCAST_LIMIT_BYTES // 32
+HITS = "key binary, items array<string>, spans array<struct<first:int,last:int>>"
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:int,last:int>>"
 
 
@@ -40,12 +48,12 @@ class WuManber:
         self.shift: dict = {}
         self.buckets: dict = defaultdict(dict)  # last block -> pattern -> items
 
-    def add(self, pattern: tuple[bytes, ...], item: str) -> None:
+    def add(self, pattern: tuple[bytes, ...], item: str | None) -> None:
         b = self.block
         for end in range(b, self.length + 1):
             block = pattern[end - b : end]
             self.shift[block] = min(self.shift.get(block, self.far), self.length - end)
-        self.buckets[pattern[-b:]].setdefault(pattern, set()).add(item)
+        self.buckets[pattern[-b:]].setdefault(pattern, set()).update([] if item is None else [item])
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
         """The last word of each occurrence, with the items it belongs to."""
@@ -58,7 +66,7 @@ class WuManber:
                 at += step
                 continue
             items = self.buckets[block].get(tuple(words[at - m + 1 : at + 1]))
-            if items:
+            if items is not None:
                 yield at, items
             at += 1
 
@@ -100,7 +108,7 @@ def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks_of_items(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of at most `limit` bytes of text (or one item); they stream through the driver."""
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("i"), text_bytes().alias("t")).distinct()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), text_bytes().alias("t")).distinct()
     block, held = [], 0
     for row in rows.toLocalIterator():
         if block and held + len(row.t) > limit:
@@ -108,62 +116,72 @@ def blocks_of_items(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str
             block, held = [], 0
         block.append((row.i, bytes(row.t)))
         held += len(row.t)
-    yield block
+    if block:
+        yield block
 
 
-def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BROADCAST_LIMIT_BYTES // 32) -> DataFrame:
-    """doc_id, n_words, n_hit, items, spans for each document.
+def find(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, items, spans for each document."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    blocks = _searches(spark, benchmark, size, block_bytes)
+    first = next(blocks, None)
+    second = next(blocks, None)
+    if second is None:
+        return narrow.mapInPandas(_answer(first), SCHEMA)
+    # the rows keep their ids and numbers of words; the hits meet them by the text, and no text moves
+    counted = write_shared(spark, narrow.withColumn("key", _key()).mapInPandas(_words, "doc_id long, key binary, n_words long"), "counted")
+    found = hits(spark, narrow, itertools.chain([first, second], blocks))
+    done = counted.join(found, "key", "left")
+    none = lambda c: F.expr(f"cast(array() as {dict(found.dtypes)[c]})")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
+    return done.select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), *(F.coalesce(c, none(c)).alias(c) for c in ("items", "spans")))
+
+
+def _searches(spark: SparkSession, benchmark: DataFrame, size: int, block_bytes: int) -> Iterator:
+    """The broadcast tables of each block of items. A block's text is bounded, and the tables take about 30 times its bytes."""
+    text_batches(spark)
+    for block in blocks_of_items(benchmark, block_bytes):
+        yield spark.sparkContext.broadcast(tables(block, size))
+
+
+def _answer(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searches = shared.value if shared else []
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
+                words = words_of(text)
+                spans, items = scan(words, searches)
+                out.append((doc_id, len(words), sum(b - a + 1 for a, b in spans), sorted(items), [{"first": a, "last": b} for a, b in spans]))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "items", "spans"]).astype({"doc_id": "Int64"})
 
-    The items are the stated query set: tables of one block at a time are broadcast (a block's text is bounded, and
-    the tables take about 30 times its bytes), and every block meets all documents. With several blocks the spans of
-    a row are merged by a key made from its id, content and place.
-    """
+    return run
 
-    def searcher(shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            searches = shared.value
-            for batch in batches:
-                out = []
-                for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                    words = words_of(text)
-                    spans, items = scan(words, searches)
-                    out.append((doc_id, len(words), sum(b - a + 1 for a, b in spans), sorted(items), [{"first": a, "last": b} for a, b in spans]))
-                yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_hit", "items", "spans"]).astype({"doc_id": "Int64"})
 
-        return run
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "key": batch.key, "n_words": [len(words_of(t)) for t in batch.text]})
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    searchers = [searcher(spark.sparkContext.broadcast(tables(block, size))) for block in blocks_of_items(benchmark, block_bytes)]
-    if len(searchers) == 1:
-        return narrow.mapInPandas(searchers[0], SCHEMA)
-    return merge_blocks(narrow, searchers)
-
-
-def merge_blocks(narrow: DataFrame, searchers: list) -> DataFrame:
-    """One row per document from the results of several blocks; equal rows (same id and text) are told apart by count."""
-    distinct = narrow.withColumn("h", F.sha2("text", 256)).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    # the row's key travels as a number in place of doc_id
-    keyed = distinct.withColumn("row", F.xxhash64("doc_id", "h"))
-    per_block = [keyed.select(F.col("row").alias("doc_id"), "text").mapInPandas(run, SCHEMA) for run in searchers]
-    merged = per_block[0]
-    for part in per_block[1:]:
-        merged = merged.unionByName(part)
-    merged = merged.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-    )
-    fold = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<first:int,last:int>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["first"] <= F.try_element_at(acc, F.lit(-1))["last"] + 1),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(acc, F.lit(-1))["last"], s["last"]).alias("last")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    merged = merged.withColumn("spans", fold)
-    merged = merged.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1))
-    return keyed.select("row", "doc_id", "copies").join(merged, "row").withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("doc_id", "n_words", "n_hit", "items", "spans")
+
+def _key(text: str = "text"):
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
+def hits(spark: SparkSession, docs: DataFrame, searches: Iterator) -> DataFrame:
+    """key, items and merged spans of each distinct text with a hit. Each block's search is written before the next one's tables are built."""
+    found = None
+    for shared in searches:
+        part = write_shared(spark, docs.select(_key().alias("key"), text_bytes().alias("text")).mapInPandas(_hits(shared), HITS), "hits")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("key").agg(F.flatten(F.collect_set("items")).alias("items"), F.flatten(F.collect_set("spans")).alias("spans"))
+
+    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            spans = [[{"first": a, "last": b} for a, b in merged([(s["first"], s["last"]) for s in own])] for own in batch.spans]
+            yield pd.DataFrame({"key": batch.key, "items": [sorted(set(own)) for own in batch["items"]], "spans": spans})
+
+    return write_shared(spark, found.mapInPandas(unite, HITS), "united")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -181,39 +199,35 @@ def item_sha256(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BROADCAST_LIMIT_BYTES // 32) -> DataFrame:
+def remove_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents with every hit word cut out, from the first byte of a span to its last; clean ones as they are.
 
     Every block of items searches the unchanged texts; the union of the blocks' spans is cut once. With several blocks
-    the spans meet the rows by a hash of the text, as equal texts have equal spans. A document left without words is
-    dropped only if it had a hit. Columns stay as they are.
+    the spans meet the rows by a hash of the text, as equal texts have equal spans. A document left without anything but
+    spaces is dropped if it had a hit. Columns stay as they are, whatever their names.
     """
-    shared = [spark.sparkContext.broadcast(tables(block, size)) for block in blocks_of_items(benchmark, block_bytes)]
-    if len(shared) == 1:
-        return _cut(docs, _searched(shared[0]), "text")
-    found = None
-    for one in shared:
-        part = docs.where("text is not null").select(_text_key(), "text").mapInPandas(_hits(one), "__key binary, spans array<struct<first:int,last:int>>")
-        found = part if found is None else found.unionByName(part)
-    found = found.groupBy("__key").agg(F.flatten(F.collect_set("spans")).alias("__spans"))
-    return _cut(docs.withColumn("__key", _text_key()).join(found, "__key", "left"), _merged_and_cut, "text", "__spans").drop("__key", "__spans")
-
-
-def _text_key():
-    return F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("__key")
+    blocks = _searches(spark, benchmark, size, block_bytes)
+    first = next(blocks, None)
+    second = next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return _cut(docs, _searched(first), "text")
+    found = hits(spark, docs.where("text is not null"), itertools.chain([first, second], blocks)).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    return _cut(docs.withColumn("__key", _key()).join(found, "__key", "left"), _merged_and_cut, "text", "__spans").select(*docs.columns)
 
 
 def _hits(shared):
-    """The key and spans of each text with a hit."""
+    """The key, items and spans of each text with a hit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, text in zip(batch["__key"], batch.text, strict=True):
-                spans, _ = scan(words_of(text.encode()), shared.value)
+            for key, text in zip(batch.key, batch.text, strict=True):
+                spans, items = scan(words_of(text), shared.value)
                 if spans:
-                    out.append((key, [{"first": a, "last": b} for a, b in spans]))
-            yield pd.DataFrame(out, columns=["__key", "spans"])
+                    out.append((key, sorted(items), [{"first": a, "last": b} for a, b in spans]))
+            yield pd.DataFrame(out, columns=["key", "items", "spans"])
 
     return run
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import number_batches, write_shared
 from .components import connected_components
 
 COSINE = 0.93
@@ -120,7 +120,8 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = COSINE
     # the numbers are part of the written table, so they stay
     keyed = nodes.select("label", "v", "least", "n", *key, F.monotonically_increasing_id().alias("node"))
     label_type = rows.schema["label"].dataType.simpleString()
-    cells = write_shared(spark, keyed.mapInPandas(project, f"label {label_type}, least long, n long, h1 long, h2 long, node long, vec binary, dim int, cell int"), "projections")
+    with number_batches(spark):
+        cells = write_shared(spark, keyed.mapInPandas(project, f"label {label_type}, least long, n long, h1 long, h2 long, node long, vec binary, dim int, cell int"), "projections")
 
     place = ["label", "dim", "cell"]
     sizes = cells.groupBy(*place).agg(F.ceil(F.sum(F.octet_length("vec")) / block_bytes).cast("int").alias("blocks"))
@@ -151,7 +152,8 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, cosine: float = COSINE
         links = pd.DataFrame({"a": ids[some], "b": ids[some], "n": degree[some]})
         return pd.concat([links, pd.DataFrame(forest, columns=["a", "b"], dtype=np.int64).assign(n=0)], ignore_index=True).astype("int64")
 
-    found = write_shared(spark, groups.groupBy("label", "dim", "low", "step", "a", "b").applyInPandas(compare, "a long, b long, n long"), "links")
+    with number_batches(spark):
+        found = write_shared(spark, groups.groupBy("label", "dim", "low", "step", "a", "b").applyInPandas(compare, "a long, b long, n long"), "links")
     degrees = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     tied = connected_components(spark, found.where("n = 0").select("a", "b"))
     rooted = cells.select("node", "h1", "h2", "least", "n").join(tied, "node", "left").select("node", "h1", "h2", "least", "n", F.coalesce("root", "node").alias("root"))

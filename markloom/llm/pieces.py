@@ -23,7 +23,6 @@ from __future__ import annotations
 import heapq
 import random
 import re
-import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,13 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import bucket_keys, text_bytes
+from .common import bucket_keys, text_batches, text_bytes, trim, write_bucketed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = r" *[^ ]+| +"
 CHUNK_BYTES = 12 << 20
-LEVEL = 6
+LEVEL = 1
 #: Units of the documents that are put together at once.
 GROUP_UNITS = 100_000
 #: Buckets per shuffle partition.
@@ -164,8 +163,23 @@ def spans(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str], sh
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
-    """The edges of each unit as one array of (start, length, id), for `viterbi`."""
-    return spans(words, pieces, longest, keys).groupBy(*keys).agg(F.collect_list(F.struct("start", "length", "id")).alias("edges"))
+    """The edges of each unit as one array of (start, length, id, score), for `viterbi`."""
+    return spans(words, pieces, longest, keys).groupBy(*keys).agg(F.collect_list(F.struct("start", "length", "id", "score")).alias("edges"))
+
+
+def best_paths(spark: SparkSession, words: DataFrame, keys: list[str], model_path: str = MODEL) -> DataFrame:
+    """`words` (word) with the ids of the path with the best score through its lattice: what a unigram model of the same pieces would say.
+
+    A word may be of any length in principle, but the fold's steps look at all its edges: words of more than SEGMENT
+    characters have no path here. Null and empty words have none either. Repeated words are answered one by one.
+    """
+    model = load(model_path)
+    ids = list(model.pieces.values())
+    table = spark.createDataFrame(pd.DataFrame({"piece": list(model.pieces), "id": ids, "score": model.score[ids]}), "piece string, id int, score double")
+    shown = words.where(F.length("word").between(1, SEGMENT)).withColumn("word", F.replace("word", F.lit(" "), F.lit(SPACE)))
+    edges = lattice(shown, table, model.longest, keys)
+    path = viterbi(F.coalesce("edges", F.expr("cast(array() as array<struct<start:bigint,length:int,id:int,score:double>>)")), F.length("word"), F.lit(float(model.score[ids].min())), model.unknown)
+    return shown.join(edges, keys, "left").withColumn("path", path).select(*keys, "word", "path")
 
 
 def merges(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
@@ -238,20 +252,19 @@ def ids_of(text: str, starts: np.ndarray, word: np.ndarray, pieces: dict[str, in
     return out, n
 
 
-def viterbi(edges: Column, n: Column, score: Column) -> Column:
-    """Unigram fold: the ids of the path over `edges` (struct<start,length,id>) with the largest sum of `score[id]`.
+def viterbi(edges: Column, n: Column, worst: Column, unknown: int = 0) -> Column:
+    """Unigram fold: the ids of the path over `edges` (struct<start,length,id,score>) with the largest sum of scores.
 
     A higher-order aggregate over the ends 1..n; the state is the best (score, ids) for each end so far. An end that no
-    edge reaches is bridged by the unknown id 0, ten below the worst piece.
+    edge reaches is bridged by the unknown id, ten below the worst piece. Of equal sums the larger ids win.
     """
     start = F.array(F.struct(F.lit(0.0).alias("s"), F.expr("cast(array() as array<int>)").alias("ids")))
-    worst = F.array_min(score) - 10.0
 
     def step(best: Column, end: Column) -> Column:
         prior = lambda k: F.element_at(best, (k + 1).cast("int"))
         here = F.filter(edges, lambda e: e["start"] + e["length"] == end)
-        paths = F.transform(here, lambda e: F.struct((prior(e["start"])["s"] + F.element_at(score, e["id"] + 1)).alias("s"), F.concat(prior(e["start"])["ids"], F.array(e["id"].cast("int"))).alias("ids")))
-        bridge = F.struct((prior(end - 1)["s"] + worst).alias("s"), F.concat(prior(end - 1)["ids"], F.array(F.lit(0))).alias("ids"))
+        paths = F.transform(here, lambda e: F.struct((prior(e["start"])["s"] + e["score"]).alias("s"), F.concat(prior(e["start"])["ids"], F.array(e["id"].cast("int"))).alias("ids")))
+        bridge = F.struct((prior(end - 1)["s"] + worst - 10.0).alias("s"), F.concat(prior(end - 1)["ids"], F.array(F.lit(unknown))).alias("ids"))
         return F.concat(best, F.array(F.array_max(F.concat(paths, F.array(bridge)))))
 
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.element_at(best, -1)["ids"])
@@ -369,8 +382,11 @@ def chunks(docs: DataFrame, pattern: str, keys: list[int], chunk_bytes: int, buc
                 if now.held > chunk_bytes:
                     yield now.rows(part, rng.getrandbits(62), buckets)
                     now = Units()
+                    trim()
         if now.ids:
             yield now.rows(part, rng.getrandbits(62), buckets)
+        del now
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, from_arrow_schema(CHUNK))
 
@@ -398,9 +414,8 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk_
     model = load(model_path)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = BUCKETS * tasks
-    name = f"markloom_units_{uuid.uuid4().hex}"
-    chunks(docs, model.unit, bucket_keys(spark, tasks), chunk_bytes, buckets).write.bucketBy(tasks, "part").format("parquet").option("compression", "none").saveAsTable(name)
-    written = spark.table(name)
+    text_batches(spark)
+    written = write_bucketed(spark, chunks(docs, model.unit, bucket_keys(spark, tasks), chunk_bytes, buckets), "units", tasks, ["part"], compression="none")
     kept = written.where("bucket = -1").select("part", "chunk", "doc_ids", "counts", "sums", "uses", "body")
     # dealt once, for both uses: the plan's two exchanges are the same one
     sent = written.where("bucket >= 0").select("part", "chunk", "bucket", "body").repartition(buckets, "bucket")
@@ -444,6 +459,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, chunk_
         for batch in batches:
             for row in range(batch.num_rows):
                 yield from _documents({c: batch.column(c)[row] for c in batch.schema.names}, table.value, surface)
+                trim()
 
     return joined.mapInArrow(assemble, from_arrow_schema(ENCODED))
 

@@ -8,7 +8,8 @@ shard of more than SHARD_ROWS is cut into parts: the tree of each part is sent t
 holds more than two parts. A task returns a spanning forest of its links, never the pairs.
 
 Fewer than 4 words are one shingle; no words give fingerprint zero, which links like any other. Null text is empty.
-Rows with a null doc_id link too, but give no component_id. Only doc_id and text are read.
+Texts of any length are hashed whole; a bit that is set in exactly half the shingles is 0. Rows with a null doc_id link
+too, but give no component_id. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes, write_shared
+from .common import number_batches, text_batches, text_bytes, write_shared
 from .components import connected_components
 
 SHINGLE = 4
@@ -53,14 +54,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, fp (the 64 bits as a signed long), text_key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t) for t in batch.text), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": fp.view(np.int64), "text_key": batch.text_key})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), _text_key().alias("text_key")).mapInPandas(run, "doc_id long, fp long, text_key binary")
 
 
 class Forest:
@@ -190,14 +191,21 @@ def links(spark: SparkSession, distinct: DataFrame, shard_rows: int = SHARD_ROWS
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, fp, component_id for each document."""
+    """doc_id, fp, text_key (128 bits of the text), component_id, and kept: whether the row is the one of its component that stays.
+
+    That is the smallest id, then the smallest text_key; rows without an id come last. Equal rows are kept together.
+    """
+    text_batches(spark)
     prints = write_shared(spark, fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tied = connected_components(spark, links(spark, nodes.select("fp"), shard_rows))
-    rooted = nodes.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(row).alias("first"))
+    with number_batches(spark):
+        tied = connected_components(spark, links(spark, nodes.select("fp"), shard_rows))
+    rooted = nodes.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
+    # written, so that the join on a large component's root can be split
+    least = write_shared(spark, rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("stays")), "least")
+    ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id", "stays")
+    return prints.join(ids, "fp").select("doc_id", "fp", "text_key", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), (row == F.col("stays")).alias("kept"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -205,7 +213,16 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id. Rows without an id stay; rows that share an id stay or go together."""
-    found = near_duplicates(spark, docs)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: the one with the smallest id, also where ids repeat or are null. Of equal rows one stays."""
+    kept = near_duplicates(spark, docs).where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    kept = write_shared(spark, kept, "kept").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), F.col("n").alias("__n"))
+    own = docs.withColumn("__key", _text_key())
+    out = own.join(kept, own["doc_id"].cast("long").eqNullSafe(kept["__d"]) & (own["__key"] == kept["__k"]))
+    if kept.where("__n > 1").limit(1).count():
+        again = out.where("__n > 1").dropDuplicates(["doc_id", "__key"])
+        out = out.where("__n = 1").unionByName(again)
+    return out.select(*docs.columns)
+
+
+def _text_key():
+    return F.unhex(F.md5(text_bytes()))

@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 import random
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import bucket_keys, pack_sorted, text_bytes, unpack_sorted, write_bucketed, write_shared
+from .common import bucket_keys, pack_sorted, text_batches, text_bytes, trim, unpack_sorted, write_bucketed, write_shared
 
 LENGTH = 200
 PERIOD = 133
@@ -297,6 +296,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, c
     if length < 16 or length > LENGTH:
         raise ValueError(f"strings of under 16 bytes have no room for a cover, and those over {LENGTH} no powers")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    text_batches(spark)
     cut = write_bucketed(spark, chunks(docs, chunk_bytes, bucket_keys(spark, tasks)), "chunks", tasks, ["part"], compression="none")
     total = cut.select(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     name_buckets = max(tasks, total * len(COVER) // PERIOD // bucket_values + 1)
@@ -310,6 +310,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, c
             for batch in batches:
                 for row in _rows(batch):
                     yield answer(_open(row, length, hashes), row)
+                    trim()
 
         return lambda frame: frame.mapInArrow(run, from_arrow_schema(schema))
 

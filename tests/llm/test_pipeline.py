@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from markloom.llm import decontaminate, lines, pieces, simhash, toxicity
@@ -80,6 +81,22 @@ def test_stages_keep_columns_and_clean_documents(spark, folder):
     assert len(P.STAGES) == 5 and np.all([callable(f) for _, f in P.STAGES])
 
 
+def test_stages_on_odd_rows(spark, folder):
+    rows = [(None, None, None, None), (None, "", "en", "s"), (7, "\ud7ff é\n\n", "en", "s"), (7, "\ud7ff é\n\n", "en", "s"), (8, None, "en", "s"), (9, "x" * 200_000, "en", "s"), (10, "a fine day\n" * 30, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("score", "__row", "key", "spans", "fp", "batch", "h1", "n", "t"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        # empty texts are one component, and its smallest id stays
+        want = [(7, rows[2][1]), (8, None), (9, rows[5][1]), (10, rows[6][1])] if name.startswith("simhash") else [(k, t) for k, t, *_ in rows]
+        assert got == sorted(want, key=str), name
+    last = P.STAGES[-1][1](spark, docs, folder).collect()
+    assert sorted((str(r.doc_id), r.round_trip) for r in last) == sorted((str(r[0]), True) for r in rows)
+
+
 def test_no_documents(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")

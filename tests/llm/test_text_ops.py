@@ -36,7 +36,7 @@ def prose(rng, n, words=None):
 
 def contaminated(docs, items):
     out = {}
-    pats = {(tuple(w[i : i + 10]) if len(w) >= 10 else tuple(w), str(k)) for k, t in items if k is not None and (w := D.words_of((t or "").encode())) for i in range(max(1, len(w) - 9))}
+    pats = {(tuple(w[i : i + 10]) if len(w) >= 10 else tuple(w), k if k is None else str(k)) for k, t in items if (w := D.words_of((t or "").encode())) for i in range(max(1, len(w) - 9))}
     for k, t in docs:
         w = D.words_of((t or "").encode())
         hit, found = set(), set()
@@ -44,7 +44,7 @@ def contaminated(docs, items):
             for i in range(len(w) - len(p) + 1):
                 if tuple(w[i : i + len(p)]) == p:
                     hit |= set(range(i, i + len(p)))
-                    found.add(item)
+                    found |= {item} - {None}
         out.setdefault(k, []).append((len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return {k: sorted(v) for k, v in out.items()}
 
@@ -126,14 +126,21 @@ def test_lines_of_no_documents(spark):
 def test_runs_compact_and_anti_join(spark):
     runs = lines.LevelledRuns(spark, fan_in=2)
     for k in range(5):
-        docs = frame(spark, [(k, f"shared\nown{k}")])
-        keys = lines.batch_counts(docs)
-        assert runs.unseen(keys).count() == (2 if k == 0 else 1)
-        runs.add(keys)
+        own = runs.write(lines.batch_counts(lines.line_keys(frame(spark, [(k, f"shared\nown{k}")]))).drop("batch"))
+        assert runs.unseen(own).count() == (2 if k == 0 else 1)
+        plan = runs.unseen(own)._jdf.queryExecution().executedPlan().toString()
+        assert k == 0 or ("LeftAnti" in plan and "Exchange" not in plan)
+        runs.add(own)
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert sorted(r.n for r in runs.counts().collect()) == [1, 1, 1, 1, 1, 5]
 
 
+def test_one_line_of_any_length(spark):
+    docs = [(k, "A" * 300_000 + "\n" + f"own {k}") for k in range(3)] + [(9, "\n".join(f"l{i}" for i in range(20_000)))] * 3
+    got = lines.digest(lines.dedup_lines(spark, frame(spark, docs), 3))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == deduped_lines(docs, 3)
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------------
 
 
@@ -167,6 +174,42 @@ def test_toxicity_sees_no_held_out_label(spark):
     assert not {f"text {k}" for k in range(40) if zlib.crc32(str(k).encode()) % 4 == 2} & set(texts)
 
 
+def test_toxicity_learns_from_a_bounded_sample(spark):
+    text = lambda k: f"text {k} " + "x" * 100
+    docs = [(k, text(k)) for k in range(400)] + [(7, text(7))] * 3000 + [(7, "other")] + [(401, "y" * 3_000_000), (402, None)]
+    labels = [(k, k % 2) for k in range(200)] + [(7, 0), (401, 1), (402, 0), (None, 1)]
+    texts, known = toxicity.learning_rows(frame(spark, docs), frame(spark, labels, "doc_id long, toxic int"), rows=90, most_bytes=1 << 20)
+    assert len(texts) <= 120 and sum(map(len, texts)) <= 1 << 20 and "y" not in {t[:1] for t in texts}
+    whole, known = toxicity.learning_rows(frame(spark, docs), frame(spark, labels, "doc_id long, toxic int"), rows=4000)
+    found = {t: k for t, k in zip(whole, known, strict=True)}
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2 and k != 7]
+    assert all(found[text(k)] == (k % 2 if k < 200 else -1) for k in ids)
+    # the id that is labelled 0 and 1 is toxic, and one of its texts is learned from
+    assert (found.get(text(7)), found.get("other")) in ((1, None), (None, 1), (None, None))
+
+
+def test_label_model_finds_accuracies_and_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    truth = (rng.random(4000) < 0.3).astype(int)
+    vote = lambda right, said: np.where(rng.random(4000) < said, np.where(rng.random(4000) < right, 2 * truth - 1, 1 - 2 * truth), 0)
+    a, b, c = vote(0.9, 0.8), vote(0.8, 0.9), vote(0.7, 0.9)
+    twin = np.where(rng.random(4000) < 0.95, c, 0)
+    label = np.where(rng.random(4000) < 0.3, 2 * truth - 1, 0)
+    label[:60] = np.where(label[:60] == 0, 0, -label[:60])  # some are wrong
+    votes = np.column_stack([a, b, c, twin, label])
+    post, shares, pairs = toxicity.label_model(votes, 0.3, np.where(label > 0, 0.95, np.where(label < 0, 0.05, 0.3)))
+    assert pairs[0] == (2, 3)
+    best = sum(np.log(r / (1 - r)) * v for r, v in ((0.9, a), (0.8, b), (0.7, c))) + np.log(0.3 / 0.7)
+    free = label == 0
+    assert ((post >= 0.5) == truth)[free].mean() > ((best > 0) == truth)[free].mean() - 0.01
+    right = shares[:3, 2, 1] / (shares[:3, 2, 1] + shares[:3, 0, 1])
+    assert np.abs(right - [0.9, 0.8, 0.7]).max() < 0.05
+    # labels don't dictate the posterior
+    assert ((post >= 0.5) != (label > 0))[:60][label[:60] != 0].any()
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = frame(spark, [], "doc_id long, toxic int")
     got = {r.doc_id: r.predicted for r in toxicity.classify(spark, frame(spark, [(1, "you stupid idiot, moron"), (2, "a fine day")]), none).collect()}
@@ -190,6 +233,25 @@ def test_all_rights_reserved_alone(spark):
     assert got == {1: (1, "Proprietary"), 2: (1, "Proprietary"), 3: (0, "")}
 
 
+def test_licence_tags_and_more_families(spark):
+    docs = [(1, "# SPDX-License-Identifier: MIT"), (2, "x\nLicensed under the ISC License."), (3, "Licensed under CC BY-SA 3.0."), (4, "// SPDX-License-Identifier: EPL-2.0\n" + "prose " * 60_000)]
+    got = {r.doc_id: r.families for r in lic.digest(lic.scan(spark, frame(spark, docs))).collect()}
+    assert got == {1: "MIT", 2: "ISC", 3: "CC-BY-SA", 4: "EPL-2.0"}
+
+
+def test_every_confirmed_paragraph_has_a_cue():
+    model = lic.train()
+    cue = lic.cues(model.templates)
+    rng = random.Random(4)
+    for family, templates in model.templates.items():
+        for t in templates:
+            ordered = sorted(t)
+            for _ in range(20):
+                # the fewest shingles that confirm it, those without a cue first
+                few = sorted(ordered, key=lambda s: (not cue.isdisjoint(s), rng.random()))[: -(-len(t) * 4 // 5)]
+                assert not cue.isdisjoint(w for s in few for w in s), family
+
+
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
 BSD = "# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions are met:\r\n#\r\n# 1. Redistributions of source code"
 GPL = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version."
@@ -283,6 +345,15 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(spark, frame(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    copy, other, third = (prose(random.Random(k), 60) for k in (5, 6, 7))
+    docs = [(5, copy), (5, other), (3, copy), (3, copy), (None, copy), (None, third), (None, third), (9, None), (8, "")]
+    kept = simhash.keep_one(spark, frame(spark, docs, clash=("fp", "root", "kept", "n", "text_key")))
+    assert kept.columns == ["doc_id", "text", "fp", "root", "kept", "n", "text_key"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, copy), (5, other), (None, third), (8, "")], key=str)
+    assert simhash.keep_one(spark, frame(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(200, 260)] + [(300, k) for k in range(301, 360)] + [(None, 1), (5, 5)]
@@ -307,6 +378,22 @@ def test_sharding(spark, n, partition_rows):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_texts_are_moved_with_their_rows(spark):
+    docs = [(k % 5, f"text {k}") for k in range(70)] + EDGE
+    for n in (0, len(docs)):
+        rows = sharding.shuffled(spark, frame(spark, docs[:n], clash=("row", "shard", "slot", "part")), 6, 4).collect()
+        assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(docs[:n], key=str)
+        slots = {}
+        for r in rows:
+            slots.setdefault(r["__shard"], []).append(r["__slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_copies_are_spread(spark):
+    rows = sharding.assign(spark, frame(spark, [(1, "same")] * 2400), partition_rows=100).groupBy("shard").count().collect()
+    assert [r["count"] for r in rows] == [100] * 24
+
+
 def test_communication_matrix():
     import numpy as np
 
@@ -343,11 +430,10 @@ def test_viterbi_fold_is_the_best_path(spark):
     names = ["<unk>", "a", "b", "ab", "ba", "aba", "bb", "aab"]
     score = [0.0] + [-rng.random() * 5 for _ in names[1:]]
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(12)] + ["aXb"]
-    table = spark.createDataFrame([(n, i) for i, n in enumerate(names) if i], "piece string, id int")
+    table = spark.createDataFrame([(n, i, score[i]) for i, n in enumerate(names) if i], "piece string, id int, score double")
     df = spark.createDataFrame([(i, w) for i, w in enumerate(dict.fromkeys(words))], "num int, word string")
     edges = pieces.lattice(df, table, 3, ["num"])
-    unpack = F.transform("edges", lambda e: F.struct(F.floor(e / (pieces.MAX_LEN * pieces.MAX_ID)).alias("start"), (F.floor(e / pieces.MAX_ID) % pieces.MAX_LEN).alias("length"), (e % pieces.MAX_ID).cast("int").alias("id")))
-    folded = df.join(edges, "num").select("word", pieces.viterbi(unpack, F.length("word"), F.array(*map(F.lit, score))).alias("ids"))
+    folded = df.join(edges, "num").select("word", pieces.viterbi(F.col("edges"), F.length("word"), F.lit(min(score))).alias("ids"))
 
     def best(w):
         state = {0: (0.0, [])}
@@ -358,6 +444,20 @@ def test_viterbi_fold_is_the_best_path(spark):
     assert {r.word: list(r.ids) for r in folded.collect()} == {w: best(w) for w in dict.fromkeys(words)}
 
 
+def test_best_paths_score_no_less_than_merges(spark):
+    model = pieces.load()
+    words = [" the", " internationalisation", "aaaa", " x" * 3, "", None, "\u2581y", "日本", "z" * 600]
+    df = spark.createDataFrame(list(enumerate(words)), "num int, word string")
+    got = {r.num: list(r.path) for r in pieces.best_paths(spark, df, ["num"]).collect()}
+    assert set(got) == {0, 1, 2, 3, 6, 7}
+    score = lambda ids: sum(model.score[i] if i != model.unknown else model.score[list(model.pieces.values())].min() - 10 for i in ids)
+    for k in (0, 1, 2):
+        shown = words[k].replace(" ", pieces.SPACE)
+        assert "".join(next(p for p, i in model.pieces.items() if i == x) for x in got[k]) == shown
+        merged = pieces.encode_text(words[k][1:], model) if words[k][0] == " " else None
+        assert merged is None or score(got[k]) >= score(merged) - 1e-9
+
+
 # --- PII ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -398,8 +498,10 @@ def test_pseudonyms_run_no_python(spark):
 # --- repeated strings -----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("length,chunk_bytes", [(200, 4 << 20), (200, 900), (24, 500)])
-def test_suffixes(spark, length, chunk_bytes):
+@pytest.mark.parametrize("length,chunk_bytes,bits", [(200, 4 << 20, (36, 56)), (200, 900, (36, 56)), (24, 500, (36, 56)), (200, 2000, (3, 2)), (24, 1 << 20, (36, 3))])
+def test_suffixes(spark, length, chunk_bytes, bits, monkeypatch):
+    """With two or three bits most keys collide, within a chunk and between chunks."""
+    monkeypatch.setattr(suffixes, "SEGMENT", 1 << 12)
     rng = random.Random(9)
     passage = prose(rng, 90)
     docs = []
@@ -407,7 +509,7 @@ def test_suffixes(spark, length, chunk_bytes):
         a = rng.randrange(len(passage) - 10)
         docs.append((k, prose(rng, 40) + passage[a : a + rng.choice([100, 199, 200, 201, 260, 333])] + prose(rng, rng.randint(0, 30))))
     docs += [(80, passage), (81, passage), (82, "é" * 150), (83, "ab" * 300), *EDGE]
-    got = suffixes.digest(suffixes.remove_repeats(spark, frame(spark, docs, clash=("part", "chunk", "lens")), length, chunk_bytes, 1000))
+    got = suffixes.digest(suffixes.remove_repeats(spark, frame(spark, docs, clash=("part", "chunk", "lens")), length, chunk_bytes, 1000, bits))
     raw = [(t or "").encode() for _, t in docs]
     want = [(k, len(b), *r) for (k, _), b, r in zip(docs, raw, suffixes.brute_force(raw, length), strict=True)]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
@@ -421,3 +523,31 @@ def test_suffixes_of_nothing(spark):
 def test_cover_has_every_difference():
     c = suffixes.COVER
     assert {(a - b) % suffixes.PERIOD for a in c for b in c} == set(range(suffixes.PERIOD))
+
+
+# --- shared storage ---------------------------------------------------------------------------------------------------------------
+
+
+def test_text_batches_only_lower_the_setting(spark):
+    from markloom.llm import common
+
+    before = spark.conf.get(common.BATCH_ROWS)
+    try:
+        spark.conf.set(common.BATCH_ROWS, "10000")
+        common.text_batches(spark, 1000)
+        assert spark.conf.get(common.BATCH_ROWS) == "1000"
+        common.text_batches(spark, 5000)
+        assert spark.conf.get(common.BATCH_ROWS) == "1000"
+        with common.number_batches(spark, 7000):
+            assert spark.conf.get(common.BATCH_ROWS) == "7000"
+        assert spark.conf.get(common.BATCH_ROWS) == "1000"
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)
+
+
+def test_bucket_keys_fill_all_buckets(spark):
+    from markloom.llm import common
+
+    keys = common.bucket_keys(spark, 13)
+    df = spark.createDataFrame([(k,) for k in keys], "id long").select(F.pmod(F.hash("id"), F.lit(13)).alias("b"))
+    assert [r.b for r in df.collect()] == list(range(13))
