@@ -79,7 +79,8 @@ def histogram(rows: DataFrame, by: list[str], x: Channel) -> DataFrame:
     flat = F.col("lo") == F.col("hi")
     ends = ends.where("lo is not null").select(*by, F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     # one row for each panel; without panels it is a single row
-    with_ends = values.join(F.broadcast(ends), by) if by else values.crossJoin(F.broadcast(ends))
+    # panels may be many, so the planner decides by their size
+    with_ends = values.join(ends, by) if by else values.crossJoin(F.broadcast(ends))
     bin_ = F.least(F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / n)), F.lit(n - 1)).cast("int")
     counts = with_ends.groupBy(*by, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("y"))
     grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -201,7 +202,7 @@ def pie(rows: DataFrame, by: list[str], ch: dict[str, Channel]) -> DataFrame:
     color = ch.get("color", NONE).field
     done = rows.select(*by, (field(color).cast("string") if color else F.lit(None).cast("string")).alias("series"), v.alias("value"))
     total = done.groupBy(*by).agg(F.sum("value").alias("__t"))
-    done = done.join(F.broadcast(total), by) if by else done.crossJoin(F.broadcast(total))
+    done = done.join(total, by) if by else done.crossJoin(F.broadcast(total))
     return done.select(*by, "series", "value", F.try_divide(F.col("value").cast("double"), F.col("__t")).alias("share"))
 
 
