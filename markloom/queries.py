@@ -596,6 +596,43 @@ def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH a AS (SELECT p_partkey, p_size, CAST(p_size - 25 AS DOUBLE) / 20 AS x FROM part)
+    SELECT p_partkey, round(sin(x), 9) AS sin, round(cos(x), 9) AS cos, round(tan(x), 9) AS tan, round(exp(x), 9) AS exp, round(CASE WHEN x >= 0 THEN sqrt(x) END, 9) AS sqrt, round(CASE WHEN x > 0 THEN ln(x) END, 9) AS log, round(CASE WHEN x > 0 THEN log10(x) END, 9) AS log10, abs(x) AS abs,
+    round(atan(x), 9) AS arctan, round(CASE WHEN abs(x) <= 1 THEN asin(x) END, 9) AS arcsin, round(CASE WHEN abs(x) <= 1 THEN acos(x) END, 9) AS arccos, round(atan2(x, 2.0), 9) AS arctan2, x = 0 AS log_is_infinite FROM a"""
+)
+def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = (F.col("p_size") - 25).cast("double") / 20
+    bare = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    out = {name: F.round(bare(f_(x)), 9) for name, f_ in arrays.MATH.items()}
+    out |= {name: F.round(f_(x, F.lit(2.0)), 9) for name, f_ in arrays.MATH_2.items()} | {"abs": F.abs(x)}
+    return table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in out.items()), (arrays.log(x) == float("-inf")).alias("log_is_infinite"))
+
+
+@query(
+    """WITH a AS (SELECT p_partkey, p_size, [CAST(p_size AS DOUBLE), 0.5, -p_size / 4.0] AS xs FROM part)
+    SELECT p_partkey, list_min(xs) AS smallest, list_max(xs) AS largest, CAST(2 AS INTEGER) AS n_keys, 3 AS a, p_size AS b, -1 AS c, 'a=3,b=' || p_size AS items,
+    round(xs[1] + xs[2] + xs[3], 9) AS last_sum, p_size * 7 * (p_size * 7 + 1) / 2 AS long_sum, p_size * 7 AS n_sums FROM a"""
+)
+def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("int")
+    xs = F.array(size.cast("double"), F.lit(0.5), -size / 4.0)
+    m = arrays.mapping(F.array(*map(F.lit, "aba")), F.array(F.lit(1), size, F.lit(3)))
+    pairs = F.array_join(F.array_sort(F.transform(arrays.items(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    steps = F.transform(F.sequence(F.lit(1), size * 7), lambda i: i.cast("double"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        arrays.smallest(xs).alias("smallest"),
+        arrays.largest(xs).alias("largest"),
+        F.size(arrays.keys(m)).alias("n_keys"),
+        *(arrays.get(m, F.lit(k), F.lit(-1)).alias(k) for k in "abc"),
+        pairs.alias("items"),
+        F.round(F.element_at(arrays.cumsum(xs), -1), 9).alias("last_sum"),
+        F.element_at(arrays.cumsum(steps), -1).alias("long_sum"),
+        F.size(arrays.cumsum(steps)).alias("n_sums"),
+    )
+
+
 # --- row-wise Python operators over generated scripts -------------------------------------------------------------------------
 
 
