@@ -268,3 +268,18 @@ def test_specs_of_samples(spark):
     assert got[0][0] == '{"encoding":{},"mark":"bar"}' and got[1][0] is None and got[2][0] is None
     filled = [r.vega_spec for r in extract.fill_specs(df.select("code")).collect()]
     assert '"line"' in filled[0] and filled[1] == '{"encoding":{},"mark":"bar"}' and filled[2] is None
+
+
+def test_running_sums_and_maps(spark):
+    from markloom.functions import arrays
+
+    rng = np.random.default_rng(0)
+    rows = [(n, rng.normal(size=n).tolist()) for n in (0, 1, 63, 64, 65, 300)]
+    got = spark.createDataFrame(rows, "n int, xs array<double>").select("n", arrays.cumsum(F.col("xs")).alias("c")).collect()
+    assert {r.n: list(r.c) for r in got} == {n: np.cumsum(xs).tolist() for n, xs in rows}
+    one = spark.range(1).select(
+        arrays.smallest(F.array(F.lit(1.0), F.lit(float("nan")))).alias("s"),
+        arrays.log10(F.lit(-1.0)).alias("l"),
+        arrays.mapping(F.array(*map(F.lit, "abab")), F.array(*map(F.lit, range(4)))).alias("m"),
+    ).first()
+    assert np.isnan(one.s) and np.isnan(one.l) and one.m == {"a": 2, "b": 3}
