@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, license, lines, pieces, pii, sharding, simhash, suffixes, toxicity
+from . import decontaminate, embeddings, license, lines, pieces, pii, sharding, simhash, suffixes, toxicity, xxh64
 from .common import table
 
 
@@ -84,6 +84,7 @@ def pieces_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BITS = ", ".join(f"CASE WHEN 2 * count(*) FILTER ((h >> {b}) & 1 = 1) > count(*) THEN CAST({1 << b} AS UBIGINT) ELSE CAST(0 AS UBIGINT) END AS b{b}" for b in range(64))
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,6 +117,17 @@ ORACLE_SQL: dict[str, str] = {
         t AS (SELECT r, string_agg(substr(h, CAST(2 * k.a - 1 AS BIGINT), CAST(2 * greatest(k.b - k.a + 1, 0) AS BIGINT)), '' ORDER BY k.a) AS kept FROM k JOIN d USING (r) GROUP BY r)
         SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
         FROM d JOIN t USING (r) LEFT JOIN (SELECT r, sum(b - a + 1) AS removed, count(*) AS spans FROM c GROUP BY r) USING (r)""",
+    "op10_simhash": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT r, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) AS g FROM d WHERE len(w) > 0),
+        u AS (SELECT DISTINCT g FROM s),
+        {xxh64.ctes("u", simhash.SEED)},
+        c AS (SELECT r, {_BITS} FROM s JOIN xxh64 USING (g) GROUP BY r),
+        p AS (SELECT d.r, doc_id, coalesce({" | ".join(f"b{b}" for b in range(64))}, CAST(0 AS UBIGINT)) AS fp FROM d LEFT JOIN c USING (r)),
+        n AS (SELECT DISTINCT fp FROM p), e AS (SELECT a.fp AS x, b.fp AS y FROM n a JOIN n b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS BIT)) <= 4),
+        reach(fp, o) AS (SELECT fp, fp FROM n UNION SELECT e.y, reach.o FROM reach JOIN e ON e.x = reach.fp),
+        m AS (SELECT reach.o AS fp, min(doc_id) AS component_id FROM reach JOIN p USING (fp) GROUP BY reach.o)
+        SELECT doc_id, printf('%016x', fp) AS fingerprint, component_id FROM p JOIN m USING (fp)""",
     "sharding_shards": """
         WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT CAST(i AS INTEGER) AS shard, n // 24 + CASE WHEN i < n % 24 THEN 1 ELSE 0 END AS n FROM n, range(24) t(i))
         SELECT shard, n, 0 AS first_slot, n - 1 AS last_slot, n AS n_slots FROM s WHERE n > 0""",
