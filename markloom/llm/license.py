@@ -220,13 +220,15 @@ def runs(lines: list[bytes], words: list[list[bytes]]) -> Iterator[tuple[int, in
 def cues(templates: dict[str, list[set]]) -> set[bytes]:
     """Words of which every confirmed paragraph has one, so that only paragraphs with one need to be classified.
 
-    A template's shingles without such a word are fewer than confirm it; where they would be more, all its words count.
+    A template's shingles without such a word are fewer than confirm it; where they would be more, more of its words
+    count, the longest first.
     """
     prose = {w for line in OTHER for w in words_of(line.encode())}
     own = {w for ts in templates.values() for t in ts for s in t for w in s} - prose
     for t in (t for ts in templates.values() for t in ts):
-        if sum(own.isdisjoint(s) for s in t) >= CONTAINMENT * len(t):
-            own |= {w for s in t for w in s}
+        more = sorted({w for s in t for w in s} - own, key=lambda w: (len(w), w))
+        while sum(own.isdisjoint(s) for s in t) >= CONTAINMENT * len(t):
+            own.add(more.pop())
     return own
 
 

@@ -472,15 +472,15 @@ def _words(text: Column) -> Column:
 
 
 @query(
-    """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) w FROM documents), b AS (SELECT list_distinct(regexp_extract_all(lower(text), '[a-z]+')) w FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))
-    SELECT doc_id, len(list_intersect(b.w, d.w)) AS matched, round(len(list_intersect(b.w, d.w)) / CAST(len(b.w) AS DOUBLE), 6) AS recall,
-    round(CASE WHEN len(list_distinct(list_concat(b.w, d.w))) > 0 THEN len(list_intersect(b.w, d.w)) / CAST(len(list_distinct(list_concat(b.w, d.w))) AS DOUBLE) ELSE 0 END, 6) AS jaccard FROM d, b"""
+    """WITH n AS (SELECT count(*) AS n FROM benchmark), i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS b FROM benchmark),
+    p AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS d, b FROM documents, n JOIN i ON i.k = doc_id % n.n)
+    SELECT doc_id, len(list_intersect(b, d)) AS matched, round(CASE WHEN len(b) > 0 THEN len(list_intersect(b, d)) / CAST(len(b) AS DOUBLE) ELSE 0 END, 6) AS recall,
+    round(CASE WHEN len(list_distinct(list_concat(b, d))) > 0 THEN len(list_intersect(b, d)) / CAST(len(list_distinct(list_concat(b, d))) AS DOUBLE) ELSE 0 END, 6) AS jaccard FROM p"""
 )
 def token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "benchmark").groupBy().agg(F.min(F.struct("item_id", "text"))["text"].alias("item"))
-    both = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(F.broadcast(first))
+    """Every document against the item that its id falls to."""
     overlap = metrics.call_overlap(_words(F.col("item")), _words(F.col("text")))
-    return both.select("doc_id", F.size(overlap["matched"]).cast("long").alias("matched"), F.round(overlap["api_sim"], 6).alias("recall"), F.round(overlap["jaccard"], 6).alias("jaccard"))
+    return _pairs(spark, sf_dir).select("doc_id", F.size(overlap["matched"]).cast("long").alias("matched"), F.round(overlap["api_sim"], 6).alias("recall"), F.round(overlap["jaccard"], 6).alias("jaccard"))
 
 
 #: Items whose words are broadcast at once.
@@ -493,7 +493,7 @@ RECALL_ITEMS = 1024
     round(CASE WHEN len(list_distinct(list_concat(b.w, d.w))) > 0 THEN len(list_intersect(b.w, d.w)) / CAST(len(list_distinct(list_concat(b.w, d.w))) AS DOUBLE) ELSE 0 END, 6) AS jaccard FROM d, b"""
 )
 def token_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token_recall for each item of benchmark, not only the first one."""
+    """Every document against every item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", _words(F.col("text")).alias("words"))
     items = table(spark, sf_dir, "benchmark").select("item_id", _words(F.col("text")).alias("words"))
     return overlap.all_pairs(spark, docs, items, RECALL_ITEMS).withColumns({n: F.round(n, 6) for n in ("recall", "jaccard")})
@@ -637,7 +637,7 @@ def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a small file, which is one task, over all cores, for what each row costs in Python."""
+    """Rows of a small file, which is one task, over all cores, for what each row costs in Python. `df` is a scan: its partitions are known."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
@@ -721,8 +721,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     numbered = items.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id")) - 1)
     n = items.count()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod(F.col("doc_id"), F.lit(max(n, 1))).alias("k"))
-    return _spread(docs.join(numbered, "k"), "doc_id")
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.withColumn("k", F.pmod(F.col("doc_id"), F.lit(max(n, 1)))).join(numbered, "k")
 
 
 @query()
