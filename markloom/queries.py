@@ -730,14 +730,15 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("doc_id", metrics.edit_similarity_udf("text", "item").alias("edit_sim"))
 
 
-_GRAMS = "list_transform(range(1, greatest(len({0}) - {1} + 2, 1)), lambda i: array_to_string({0}[i : i + {1} - 1], chr(1)))"
-_HITS = "(SELECT coalesce(sum(least(m, coalesce(o, 0))), 0) FROM (SELECT g, count(*) m FROM (SELECT unnest(" + _GRAMS.format("b", "{0}") + ") g) GROUP BY 1) LEFT JOIN (SELECT g2, count(*) o FROM (SELECT unnest(" + _GRAMS.format("a", "{0}") + ") g2) GROUP BY 1) ON g = g2)"
+_WORDS_OF = "list_filter(regexp_split_to_array(coalesce({0}, ''), '\\s+'), lambda x: x <> '')"
+_GRAMS_OF = "SELECT doc_id, o, g, count(*) AS n FROM (SELECT doc_id, o, unnest(list_transform(range(1, greatest(len({0}) - o + 2, 1)), lambda i: array_to_string({0}[i : i + o - 1], chr(1)))) AS g FROM p, range(1, 5) t(o)) GROUP BY ALL"
 
 
 @query(
     f"""WITH n AS (SELECT count(*) AS n FROM benchmark), i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, text AS item FROM benchmark),
-    p AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(coalesce(item, ''), '\\s+'), lambda x: x <> '') AS b FROM documents, n JOIN i ON i.k = doc_id % n.n),
-    h AS (SELECT doc_id, len(a) AS la, len(b) AS lb, {", ".join(f"{_HITS.format(k)} AS h{k}" for k in (1, 2, 3, 4))} FROM p)
+    p AS (SELECT doc_id, {_WORDS_OF.format("text")} AS a, {_WORDS_OF.format("item")} AS b FROM documents, n JOIN i ON i.k = doc_id % n.n),
+    x AS ({_GRAMS_OF.format("a")}), y AS ({_GRAMS_OF.format("b")}), m AS (SELECT doc_id, o, sum(least(x.n, y.n)) AS h FROM x JOIN y USING (doc_id, o, g) GROUP BY ALL),
+    h AS (SELECT doc_id, len(a) AS la, len(b) AS lb, {", ".join(f"coalesce(max(h) FILTER (o = {k}), 0) AS h{k}" for k in (1, 2, 3, 4))} FROM p LEFT JOIN m USING (doc_id) GROUP BY ALL)
     SELECT doc_id, round(CASE WHEN h1 = 0 THEN 0.0 ELSE CASE WHEN lb > la THEN 1.0 ELSE exp(1 - CAST(la AS DOUBLE) / lb) END * exp(({" + ".join(f"ln(CASE WHEN h{k} = 0 THEN 0.1 ELSE h{k} END / CAST(greatest(1, lb - {k - 1}) AS DOUBLE))" for k in (1, 2, 3, 4))}) / 4) END, 9) AS bleu FROM h"""
 )
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
