@@ -12,7 +12,8 @@ the family: at least 0.8 of a template's shingles of five words (all words where
 n_paragraphs counts the lines with text. Each line is answered as a whole; a window counts besides its lines only where
 none of them has the window's family, and its line is the first one.
 
-Null and empty texts have no paragraphs and no licence; paragraphs without a word of the vocabulary are unknown. Only
+Null and empty texts have no paragraphs and no licence; paragraphs without a word of the vocabulary are unknown. Of
+families with the same probability the first in TEMPLATES is meant. Texts and lines of any length are read whole. Only
 doc_id and text are read; rows are answered one by one, so nulls and repeats need no rule.
 """
 
