@@ -8,8 +8,9 @@ the key and the kind only, so equal values get equal pseudonyms in all documents
 the holder of the key can undo it (`undo=True`).
 
 Only built-in expressions run: a text is split at its matches, the matches are mapped, and both are joined again. A
-match that fails its validation stays as it is. Null text stays null and has no matches. Only doc_id and text are
-read; rows are answered one by one, so nulls, repeats and ties need no rule.
+match that fails its validation stays as it is. Null text stays null and has no matches, and an empty one stays empty.
+A text of any length is mapped whole. Only doc_id and text are read; rows are answered one by one, so nulls, repeats and
+ties need no rule, and other columns keep their names and values.
 """
 
 from __future__ import annotations

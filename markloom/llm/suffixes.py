@@ -310,7 +310,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, c
             for batch in batches:
                 for row in _rows(batch):
                     yield answer(_open(row, length, hashes), row)
-                    trim()
+            trim()
 
         return lambda frame: frame.mapInArrow(run, from_arrow_schema(schema))
 

@@ -495,6 +495,13 @@ def test_pseudonyms_run_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pseudonyms_in_a_long_text(spark):
+    text = "call 555.123.4567 or 555.123.4567; " * 4000
+    row = pii.pseudonymise(frame(spark, [(1, text), (2, "see 555.123.4567")])).orderBy("doc_id").collect()
+    new = row[1]["__found"][0].pseudonym
+    assert row[0]["__text"] == text.replace("555.123.4567", new) and len(row[0]["__found"]) == 8000
+
+
 # --- repeated strings -----------------------------------------------------------------------------------------------------------
 
 
