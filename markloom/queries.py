@@ -636,16 +636,16 @@ def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- row-wise Python operators over generated scripts -------------------------------------------------------------------------
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a small file, which is one task, over all cores, for what each row costs in Python. `df` is a scan: its partitions are known."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def _spread(df: DataFrame, key: str, each: int = 1) -> DataFrame:
+    """Rows of a small file, which is one task, over all cores, `each` tasks a core, for what each row costs in Python. `df` is a scan: its partitions are known."""
+    tasks = each * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, key) if df.rdd.getNumPartitions() < tasks else df
 
 
-def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scripts(spark: SparkSession, sf_dir: str, each: int = 1) -> DataFrame:
     """A plotting script for each part."""
     body = "import numpy as np\nimport matplotlib.pyplot as plt\n# part %s\nx = np.arange(0, %s)\nplt.plot(x, x * %s, color='red', alpha=0.5)\nplt.title('%s')\nplt.show()\n"
-    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey")
+    part = _spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), "p_partkey", each)
     return part.select(F.col("p_partkey").alias("id"), F.format_string(body, "p_partkey", F.col("p_size") + 2, "p_size", "p_brand").alias("code"))
 
 
@@ -712,7 +712,7 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def augment_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = corpus.expand(_scripts(spark, sf_dir).withColumn("path", F.col("id").cast("string")))
+    tasks = corpus.expand(_scripts(spark, sf_dir, each=4).withColumn("path", F.col("id").cast("string")))
     return augment.variants(tasks).select("id", "variant_idx", "attempt_idx", F.sha1(F.col("new_code").cast("binary")).alias("code_sig"))
 
 
